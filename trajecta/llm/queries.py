@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajecta.llm import bpe, media, records
+from trajecta.llm import bpe, media, records, substrings
 from trajecta.llm.common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,9 +25,29 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removal_digest(table(spark, sf_dir, "documents"))
+
+
+#: Words are what stays between ASCII white space; a window is 50 of them as one string.
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+w AS (SELECT doc_id, words, unnest(range(len(words) - 49)) AS s FROM d WHERE len(words) >= 50),
+h AS (SELECT doc_id, s, md5(array_to_string(words[s + 1 : s + 50], ' ')) AS h FROM w),
+f AS (SELECT h, min(doc_id) AS first FROM h GROUP BY h HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT doc_id, list_distinct(flatten(list(range(s, s + 50)))) AS positions FROM (SELECT h.doc_id, h.s FROM h JOIN f USING (h) WHERE h.doc_id > f.first) GROUP BY doc_id),
+k AS (SELECT d.doc_id, words, coalesce(positions, []) AS positions FROM d LEFT JOIN gone USING (doc_id)),
+m AS (SELECT doc_id, unnest(range(len(words))) AS p, unnest(words) AS word FROM k),
+g AS (SELECT doc_id, unnest(positions) AS p FROM k),
+t AS (SELECT m.doc_id, string_agg(word, ' ' ORDER BY m.p) AS kept, count(*) AS n FROM m ANTI JOIN g ON m.doc_id = g.doc_id AND m.p = g.p GROUP BY m.doc_id)
+SELECT k.doc_id, len(words)::BIGINT AS n_words, len(positions)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM k LEFT JOIN t USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_token_counts, op5_token_records, op6_media_columns)}
+    return {f.__name__: f for f in (op3_token_counts, op5_token_records, op6_media_columns, op7_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_substring_dedup": OP7_SQL}
