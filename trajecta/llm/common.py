@@ -24,9 +24,9 @@ BYTES_PER_STEP = 1 << 21
 _WRITTEN: list[str] = []
 
 
-def configure(spark: SparkSession) -> None:
+def configure(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
     """Bound the memory of Arrow batches (long texts) for this session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,11 +46,14 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage for good."""
+def saved(df: DataFrame, label: str, rows: int = ROWS_PER_BATCH) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage for good. Python
+    workers get ``rows`` rows at once meanwhile (many where rows are a few numbers)."""
     spark = df.sparkSession
     path = new_path(spark, label)
+    configure(spark, rows)
     df.write.parquet(path)
+    configure(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
