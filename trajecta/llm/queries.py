@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajecta.llm import bpe, media, records, simhash, substrings
+from trajecta.llm import bpe, media, records, simhash, substrings, toxicity
 from trajecta.llm.common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,8 +49,12 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_of(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_token_counts, op5_token_records, op6_media_columns, op7_substring_dedup, op8_simhash_near_dedup)}
+    return {f.__name__: f for f in (op3_token_counts, op5_token_records, op6_media_columns, op7_substring_dedup, op8_simhash_near_dedup, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
