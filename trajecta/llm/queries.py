@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajecta.llm import bpe, media, records, simhash, substrings, toxicity
+from trajecta.llm import bpe, language, media, records, simhash, substrings, toxicity
 from trajecta.llm.common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.token_records(table(spark, sf_dir, "documents")).select("doc_id", "start", "n_tokens", "ids_crc32", "file", "offset")
 
@@ -54,7 +58,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_token_counts, op5_token_records, op6_media_columns, op7_substring_dedup, op8_simhash_near_dedup, op9_toxicity)}
+    return {f.__name__: f for f in (op3_token_counts, op4_language_id, op5_token_records, op6_media_columns, op7_substring_dedup, op8_simhash_near_dedup, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
