@@ -29,8 +29,9 @@ VOCABULARY = "word_bpe_49k.json"
 #: Entries of the broadcast table, and of one task's summary for it.
 FREQUENT, SUMMARY = 16_384, 8_192
 #: Entries of a worker's caches: chunks, and the words inside them.
-CACHED, WORDS = 400_000, 900_000
-_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+CACHED, WORDS = 900_000, 900_000
+#: Words whose lower case and normal form are plain: Latin letters, then punctuation.
+_WORD = re.compile("([a-zß-öø-ÿ]+)([.,;:!?]*)")
 _JOINED = 200
 
 
@@ -86,22 +87,37 @@ class ChunkEncoder:
             self.chunks.clear()
         if len(self.words) > WORDS:
             self.words.clear()
-        parts, whole = {}, []
-        for c in missing:
-            m = _WORD.fullmatch(s := c.decode())
+        found, whole, words, match = [], [], self.words, _WORD.fullmatch
+        listed = list(missing)
+        line = b"\n".join(listed).decode()  # no chunk holds a line end
+        low = line.lower().split("\n")
+        for c, s in zip(listed, low, strict=True):
+            m = match(s)
             if m:
-                parts[c] = (m[1].lower(), m[2])
+                found.append((c, *m.groups()))
             else:
-                whole.append((c, s))
-        need = {w for p in parts.values() for w in p if w} - self.words.keys()
-        letters = [w for w in need if w[0].isalpha()]
-        self._learn_words(letters)
-        marks = [w for w in need if not w[0].isalpha()]
-        self.words.update(zip(marks, self._whole(marks), strict=True))
-        words = self.words
-        for c, (w, p) in parts.items():
-            self.chunks[c] = words[w] + words[p] if p else words[w]
-        self.chunks.update(zip((c for c, _ in whole), self._whole([s for _, s in whole]), strict=True))
+                whole.append(c)
+        need = {x[1] for x in found}.difference(words)
+        self._learn_words(list(need))
+        marks = list({x[2] for x in found}.difference(words))
+        words.update(zip(marks, self._whole(marks), strict=True))
+        self.chunks.update([(c, words[w] + words[p] if p else words[w]) for c, w, p in found])
+        self._learn_others(whole)
+
+    def _learn_others(self, chunks: list[bytes]) -> None:
+        """Any other chunk, many to a call, with a special token of known id between them."""
+        name, cut = next(((t.content, i) for i, t in self.tok.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip)), (None, None))
+        texts = [c.decode() for c in chunks]
+        joined = [k for k, t in enumerate(texts) if name and "<|" not in t and "|>" not in t]
+        for i in range(0, len(joined), _JOINED):
+            group = joined[i : i + _JOINED]
+            ids = np.array(self.tok.encode_batch_fast([f" {name} ".join(texts[k] for k in group)], add_special_tokens=False)[0].ids, self.dtype)
+            parts = np.split(ids, np.flatnonzero(ids == cut))
+            assert len(parts) == len(group)
+            for n, (k, part) in enumerate(zip(group, parts, strict=True)):
+                self.chunks[chunks[k]] = part[n > 0 :].tobytes()
+        rest = sorted(set(range(len(texts))).difference(joined))
+        self.chunks.update(zip((chunks[k] for k in rest), self._whole([texts[k] for k in rest]), strict=True))
 
 
 @lru_cache(maxsize=2)

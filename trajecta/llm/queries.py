@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajecta.llm import bpe, language, media, records, simhash, substrings, toxicity
+from trajecta.llm import bpe, decontaminate, language, media, records, simhash, substrings, toxicity
 from trajecta.llm.common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,9 +57,34 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_of(spark, sf_dir)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(spark, sf_dir)
+
+
+#: All item-sized windows that begin or end at a shared shingle, by plain text.
+OP10_SQL = r"""
+WITH dw AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM documents),
+iw AS (SELECT item_id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM benchmark),
+ds AS (SELECT doc_id, unnest(range(len(w) - 4)) AS p, unnest(list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' '))) AS h FROM dw WHERE len(w) >= 5),
+items AS (SELECT min(item_id) AS item_id, w, len(w) - 4 AS n FROM iw WHERE len(w) >= 5 GROUP BY w),
+sh AS (SELECT item_id, n, unnest(list_transform(range(n), lambda i: array_to_string(w[i + 1 : i + 5], ' '))) AS h FROM items),
+ic AS (SELECT item_id, n, h, count(*) AS c FROM sh GROUP BY ALL),
+hits AS (SELECT doc_id, item_id, n, p, h FROM ds JOIN (SELECT DISTINCT item_id, n, h FROM ic) USING (h)),
+enough AS (SELECT doc_id, item_id FROM hits GROUP BY ALL HAVING count(*) >= ceil(1.6 / 1.8 * any_value(n) - 1e-9)),
+starts AS (SELECT DISTINCT doc_id, item_id, n, unnest([p, p - n + 1]) AS s FROM hits SEMI JOIN enough USING (doc_id, item_id)),
+sizes AS (SELECT doc_id, len(w) - 4 AS size FROM dw),
+ok AS (SELECT starts.* FROM starts JOIN sizes USING (doc_id) WHERE s >= 0 AND s + n <= size),
+wc AS (SELECT ok.doc_id, ok.item_id, ok.n, ok.s, x.h, count(*) AS c FROM ok JOIN hits x ON x.doc_id = ok.doc_id AND x.item_id = ok.item_id AND x.p >= ok.s AND x.p < ok.s + ok.n GROUP BY ALL),
+o AS (SELECT wc.doc_id, wc.item_id, wc.n, wc.s, sum(least(wc.c, ic.c)) AS shared FROM wc JOIN ic ON ic.item_id = wc.item_id AND ic.h = wc.h GROUP BY ALL),
+r AS (SELECT doc_id, item_id, s, shared / (2 * n - shared) AS similarity FROM o WHERE shared / (2 * n - shared) >= 0.8 - 1e-9),
+b AS (SELECT doc_id, item_id, s, similarity, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, s) AS rn FROM r)
+SELECT doc_id, item_id, s::INTEGER AS start, round(similarity::DOUBLE, 6) AS similarity FROM b WHERE rn = 1
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_token_counts, op4_language_id, op5_token_records, op6_media_columns, op7_substring_dedup, op8_simhash_near_dedup, op9_toxicity)}
+    return {f.__name__: f for f in (op3_token_counts, op4_language_id, op5_token_records, op6_media_columns, op7_substring_dedup, op8_simhash_near_dedup, op9_toxicity, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_substring_dedup": OP7_SQL}
+    return {"op7_substring_dedup": OP7_SQL, "op10_decontamination": OP10_SQL}
