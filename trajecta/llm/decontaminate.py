@@ -38,22 +38,23 @@ def words(text: str = "text") -> Column:
     return F.filter(F.split(cleaned, " ", -1), lambda w: w != "")
 
 
-def shingles(word_hashes: str, width: int = WIDTH) -> Column:
-    """Hashes of all shingles of an array of word hashes, in order."""
-    parts = ", ".join(f"{word_hashes}[i + {k}]" for k in range(width))
-    return F.expr(f"CASE WHEN size({word_hashes}) < {width} THEN array() ELSE transform(sequence(0, size({word_hashes}) - {width}), i -> xxhash64({parts})) END").cast("array<bigint>")
+def hashed(df: DataFrame, *keep: str, width: int = WIDTH) -> DataFrame:
+    """``keep`` and hs, the hashes of all shingles of ``text`` in order. Intermediate arrays are
+    bound as lambda variables: a column would be copied into each of its uses by the optimiser
+    and computed again for every word."""
 
+    def of(wh: Column) -> Column:
+        last = F.size(wh) - F.lit(width)
+        at = lambda i, k: F.get(wh, i + F.lit(k))
+        return F.when(last < 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*[at(i, k) for k in range(width)])))
 
-def hashed(df: DataFrame, *keep: str) -> DataFrame:
-    """``keep`` and hs, the shingle hashes of ``text``."""
-    step = df.select(*keep, F.transform(words(), lambda w: F.xxhash64(w)).alias("wh"))
-    return step.select(*keep, shingles("wh").alias("hs"))
+    return df.select(*keep, F.get(F.transform(F.array(F.transform(words(), lambda w: F.xxhash64(w))), of), F.lit(0)).alias("hs"))
 
 
 def fingerprint(hs: str) -> Column:
     """Majority bits of an array of hashes, as a long."""
     return F.expr(
-        f"aggregate(sequence(0, 63), 0L, (acc, b) -> acc | CASE WHEN 2 * aggregate({hs}, 0L, (n, h) -> n + (shiftright(h, b) & 1L)) > size({hs}) THEN shiftleft(1L, b) ELSE 0L END)"
+        f"get(transform(array({hs}), a -> aggregate(sequence(0, 63), 0L, (acc, b) -> acc | CASE WHEN 2 * aggregate(a, 0L, (n, h) -> n + (shiftright(h, b) & 1L)) > size(a) THEN shiftleft(1L, b) ELSE 0L END)), 0)"
     )
 
 
@@ -72,8 +73,8 @@ def overlap(a: str, b: str) -> Column:
 
 def items(benchmark: DataFrame, similarity: float) -> DataFrame:
     """item_id, ihs, n (shingles), need (shared shingles that ``similarity`` takes), ifp."""
-    made = hashed(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), "item_id").withColumnRenamed("hs", "ihs").where(F.size("ihs") > 0)
-    one = made.groupBy("ihs").agg(F.min("item_id").alias("item_id")).withColumn("n", F.size("ihs"))
+    made = hashed(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), "item_id").withColumnRenamed("hs", "ihs")
+    one = made.groupBy("ihs").agg(F.min("item_id").alias("item_id")).withColumn("n", F.size("ihs")).where("n > 0")
     # overlap / (2 n - overlap) >= s; a little less for rounding
     return one.withColumn("need", F.ceil(F.lit(2 * similarity / (1 + similarity)) * F.col("n") - F.lit(1e-9)).cast("int")).withColumn("ifp", fingerprint("ihs"))
 
@@ -85,14 +86,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     rows = rows.withColumn("text_key", F.xxhash64("text"))
     known = saved(items(benchmark, similarity), "items")
     marks = known.select(F.explode(F.array_distinct("ihs")).alias("h"), "item_id", "n", "need")
-    each = hashed(rows, "doc_id", "text_key").select("doc_id", "text_key", F.posexplode("hs").alias("p", "h"))
+    each = hashed(rows, "doc_id", "text_key").select("doc_id", "text_key", F.posexplode_outer("hs").alias("p", "h"))
     marks = F.broadcast(marks) if size_at_most(marks, BROADCAST_SHINGLES) else marks
     # hits of a document on an item: at most as many as it has words, in one row of theirs
     hits = each.join(marks, "h").groupBy("doc_id", "text_key", "item_id", "n", "need").agg(F.collect_set("p").alias("at")).where(F.size("at") >= F.col("need"))
     starts = F.expr("filter(array_distinct(concat(at, transform(at, p -> p - n + 1))), s -> s >= 0 AND size(filter(at, p -> p >= s AND p < s + n)) >= need)")
     starts = hits.select("doc_id", "text_key", "n", F.explode(starts).alias("s")).distinct()
     asked = saved(starts.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("n", "s")).alias("asked")), "asked")
-    full = hashed(rows.join(asked, ["doc_id", "text_key"]), "doc_id", "text_key", "asked")
+    full = saved(hashed(rows.join(asked, ["doc_id", "text_key"]), "doc_id", "text_key", "asked"), "asked")
     # a window that reaches beyond the last word has too few shingles to be item-sized
     windows = full.select("doc_id", "text_key", "hs", F.explode("asked").alias("w")).where(F.col("w.s") + F.col("w.n") <= F.size("hs"))
     windows = windows.select("doc_id", "text_key", F.col("w.n").alias("n"), F.col("w.s").alias("start"), F.expr("slice(hs, w.s + 1, w.n)").alias("whs")).distinct()

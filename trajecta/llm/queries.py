@@ -65,7 +65,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = r"""
 WITH dw AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM documents),
 iw AS (SELECT item_id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM benchmark),
-ds AS (SELECT doc_id, unnest(range(len(w) - 4)) AS p, unnest(list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' '))) AS h FROM dw WHERE len(w) >= 5),
+dp AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS p FROM dw),
+ds AS (SELECT * FROM (SELECT doc_id, p, x || ' ' || lead(x, 1) OVER v || ' ' || lead(x, 2) OVER v || ' ' || lead(x, 3) OVER v || ' ' || lead(x, 4) OVER v AS h FROM dp WINDOW v AS (PARTITION BY doc_id ORDER BY p)) WHERE h IS NOT NULL),
 items AS (SELECT min(item_id) AS item_id, w, len(w) - 4 AS n FROM iw WHERE len(w) >= 5 GROUP BY w),
 sh AS (SELECT item_id, n, unnest(list_transform(range(n), lambda i: array_to_string(w[i + 1 : i + 5], ' '))) AS h FROM items),
 ic AS (SELECT item_id, n, h, count(*) AS c FROM sh GROUP BY ALL),
