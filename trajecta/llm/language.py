@@ -60,19 +60,28 @@ def _slot(gram: np.ndarray, order: int, bits: int) -> np.ndarray:
 
 @dataclass
 class Arrays:
-    """Sorted hashes of one order's grams, and a row of values for each; ``jump`` finds a
-    hash's row without a search and gives the last row, which holds ``missing``, for others."""
+    """Sorted hashes of one order's grams and a row of values for each; the last row holds
+    the value of hashes that are not there."""
 
     hashes: np.ndarray
     values: np.ndarray
-    jump: np.ndarray
+    bits: int
 
     @classmethod
     def of(cls, hashes: np.ndarray, values: np.ndarray, bits: int, missing: float) -> Arrays:
         order = np.argsort(hashes)
-        jump = np.full(1 << bits, len(hashes), np.int32)
-        jump[hashes[order]] = np.arange(len(hashes))
-        return cls(hashes[order], np.concatenate([values[order], np.full((1, values.shape[1]), missing)]).astype(np.float32), jump)
+        return cls(hashes[order].astype(np.uint32), np.concatenate([values[order], np.full((1, values.shape[1]), missing)]).astype(np.float32), bits)
+
+    def rows(self, slots: np.ndarray) -> np.ndarray:
+        """The row of each hash, by a table that each worker makes for itself (it is not sent)."""
+        jump = self.__dict__.get("_jump")
+        if jump is None:
+            jump = self._jump = np.full(1 << self.bits, len(self.hashes), np.int32)
+            jump[self.hashes] = np.arange(len(self.hashes))
+        return jump[slots]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_jump"}
 
 
 @dataclass
@@ -91,12 +100,12 @@ class LanguageModel:
         if order == 0:
             return np.full((len(codes), len(self.langs)), -BITS * np.log(2), np.float32)
         table = self.grams[order]
-        row = table.jump[_slot(codes, order, self.bits)]
+        row = table.rows(_slot(codes, order, self.bits))
         out = table.values[row]
         lost = np.flatnonzero(row == len(table.hashes))
         if len(lost):
             c, ctx = codes[lost], self.contexts[order]
-            weight = ctx.values[ctx.jump[_slot(c >> BITS, order, self.bits)]]
+            weight = ctx.values[ctx.rows(_slot(c >> BITS, order, self.bits))]
             out[lost] = weight + self._logs(c & mask(order - 1), order - 1)
         return out
 

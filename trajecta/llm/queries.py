@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajecta.llm import bpe, decontaminate, language, media, records, simhash, substrings, toxicity
+from trajecta.llm import bpe, decontaminate, language, media, pieces, quality, records, simhash, substrings, toxicity
 from trajecta.llm.common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.pieces_of(spark, sf_dir)
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_of(spark, sf_dir)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(table(spark, sf_dir, "documents"))
 
@@ -84,7 +92,7 @@ SELECT doc_id, item_id, s::INTEGER AS start, round(similarity::DOUBLE, 6) AS sim
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_token_counts, op4_language_id, op5_token_records, op6_media_columns, op7_substring_dedup, op8_simhash_near_dedup, op9_toxicity, op10_decontamination)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_quality, op3_token_counts, op4_language_id, op5_token_records, op6_media_columns, op7_substring_dedup, op8_simhash_near_dedup, op9_toxicity, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

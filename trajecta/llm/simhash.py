@@ -28,7 +28,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajecta.llm.common import arrow_map, as_bytes, saved
@@ -61,14 +61,16 @@ def fingerprint(text: bytes, width: int = WIDTH) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of every row; null text has no words."""
+    """doc_id, text_key (a hash of the text) and fp (the 64 bits as a signed long) of every row;
+    null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             fps = np.array([fingerprint(t.as_py(), width) for t in b.column("text")], np.uint64)
-            yield {"doc_id": b.column("doc_id"), "fp": fps.view(np.int64)}
+            yield {"doc_id": b.column("doc_id"), "text_key": b.column("text_key"), "fp": fps.view(np.int64)}
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes().alias("text")), run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(as_bytes()).alias("text_key"), as_bytes().alias("text"))
+    return arrow_map(rows, run, "doc_id long, text_key long, fp long")
 
 
 def _signed(x: int) -> int:
@@ -173,7 +175,8 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id that links reach) for every row.
+    """doc_id, text_key, fp, root (a fingerprint that names the component) and component_id
+    (the smallest doc_id that links reach) for every row.
 
     Texts without words share the fingerprint 0 and link like any other. A null doc_id keeps
     its row; it is never a component's id unless the component has no other.
@@ -184,8 +187,22 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -
     joined = nodes.join(roots.toDF("fp", "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     joined = saved(joined, "joined")
     groups = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = joined.join(groups, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = joined.join(groups, "root").select("fp", "root", "component_id")
+    return prints.join(classes, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest
+    doc_id stays (null ids last, then by a hash of the text; of equal rows one)."""
+    last = F.lit((1 << 63) - 1)
+    found = near_duplicates(docs, width, radius).withColumn("id", F.coalesce("doc_id", last))
+    least = found.groupBy("root").agg(F.min("id").alias("id"))
+    same = found.join(least, ["root", "id"]).groupBy("root", "id").agg(F.min("text_key").alias("text_key"))
+    stay = same.select(F.col("id").alias("__id"), F.col("text_key").alias("__key"))
+    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), last)).withColumn("__key", F.xxhash64(as_bytes()))
+    kept = keyed.join(stay, ["__id", "__key"], "left_semi")
+    place = F.row_number().over(Window.partitionBy("__id", "__key").orderBy(F.lit(1)))
+    return kept.withColumn("__n", place).where("__n = 1").select(*docs.columns)
 
 
 def near_duplicate_digest(docs: DataFrame) -> DataFrame:

@@ -180,6 +180,14 @@ def without_repeats(docs: DataFrame, keep: list[str], length: int = LENGTH, seed
     return cols.mapInArrow(run, schema)
 
 
+def cleaned(docs: DataFrame) -> DataFrame:
+    """``docs`` with the repeated words taken out of ``text`` (texts without any stay as they
+    are) and ``n_chars`` counted again."""
+    out = without_repeats(docs, docs.columns)
+    text = F.when(F.col("n_removed") > 0, F.col("kept").cast("string")).otherwise(F.col("text"))
+    return out.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
 def removal_digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and the SHA-256 of the kept words of every document."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajecta.llm.common import arrow_map, as_bytes, crc_mod, table
+from trajecta.llm.common import arrow_map, as_bytes, configure, crc_mod, table
 
 #: Labelled rows that the fit takes at most, spread evenly over all of them by a hash.
 MOST_ROWS = 8_000
@@ -299,6 +299,19 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     return arrow_map(rows, run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with all their columns."""
+    held = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [(t or "").encode() for t in b.column("text").to_pylist()]
+            yield b.filter(pa.array(held.value.scores(texts) < 0.5, pa.bool_()))
+
+    configure(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     return score(docs, train(docs, labels))
