@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trajecta.functions import geometry as G
-from trajecta.operators import affinity, assignment, evaluate, flow, kalman, pairs, tracker, transforms
+from trajecta.operators import affinity, assignment, epipolar, evaluate, flow, kalman, pairs, tracker, transforms
 from trajecta.sources import fixture, mot
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -577,10 +577,10 @@ def transition_cost(spark, sf):
 
 @query(f"""{_LINKS}, obs AS (SELECT *, round(ln(-0.446::DOUBLE * score + 0.456::DOUBLE), 6) AS c FROM det)
 SELECT 'link' AS kind, seq_id, frame, det_idx, next_frame, next_idx, floor(cost * 100000)::BIGINT AS cost FROM gated
-UNION ALL SELECT 'observe', seq_id, frame, det_idx, NULL, NULL, floor(ln(-0.446::DOUBLE * score + 0.456::DOUBLE) * 100000)::BIGINT FROM det
-UNION ALL SELECT unnest(['enter', 'exit']), seq_id, frame, det_idx, NULL, NULL, 500000::BIGINT FROM det""")
+UNION ALL SELECT 'observe', seq_id, frame, det_idx, -1, -1, floor(ln(-0.446::DOUBLE * score + 0.456::DOUBLE) * 100000)::BIGINT FROM det
+UNION ALL SELECT unnest(['enter', 'exit']), seq_id, frame, det_idx, -1, -1, 500000::BIGINT FROM det""")
 def flow_edges(spark, sf):
-    return flow.arcs(det(spark, sf), _links(spark, sf), _FLOW)
+    return flow.arcs(det(spark, sf), _links(spark, sf), _FLOW).fillna(-1, ["next_frame", "next_idx"])
 
 
 @query()
@@ -590,11 +590,11 @@ def mcf_tracks(spark, sf):
     return flow.flow_tracks(few, flow.transitions(few, cost, _FLOW), _FLOW)
 
 
-@query("SELECT seq_id, obj_id AS track_id, frame, det_idx, lead(frame) OVER w AS next_frame, lead(det_idx) OVER w AS next_idx, row_number() OVER w::INT AS pos FROM det WINDOW w AS (PARTITION BY seq_id, obj_id ORDER BY frame)")
+@query("SELECT seq_id, obj_id AS track_id, frame, det_idx, lead(frame, 1, -1) OVER w AS next_frame, lead(det_idx, 1, -1) OVER w AS next_idx, row_number() OVER w::INT AS pos FROM det WINDOW w AS (PARTITION BY seq_id, obj_id ORDER BY frame)")
 def track_links(spark, sf):
     w = Window.partitionBy("seq_id", "obj_id").orderBy("frame")
     d = fixture.load(spark, sf)[0]
-    return d.select("seq_id", F.col("obj_id").alias("track_id"), "frame", "det_idx", F.lead("frame").over(w).alias("next_frame"), F.lead("det_idx").over(w).alias("next_idx"), F.row_number().over(w).alias("pos"))
+    return d.select("seq_id", F.col("obj_id").alias("track_id"), "frame", "det_idx", F.lead("frame", 1, -1).over(w).alias("next_frame"), F.lead("det_idx", 1, -1).over(w).alias("next_idx"), F.row_number().over(w).alias("pos"))
 
 
 # ---- appearance -----------------------------------------------------------------------
@@ -783,14 +783,14 @@ def trajectory_rows(spark, sf):
     return numbered.select("seq_id", "id", F.inline("nodes")).select("seq_id", "frame", "id", "x", "y", "w", "h")
 
 
-@query("SELECT seq_id, obj_id, frame, round(sum(score * det_idx) OVER w / sum(det_idx) OVER w, 6) AS average FROM det WINDOW w AS (PARTITION BY seq_id, obj_id ORDER BY frame ROWS UNBOUNDED PRECEDING)")
+@query("SELECT seq_id, obj_id, frame, round(sum(score * det_idx) OVER w / sum(det_idx) OVER w, 12) AS average FROM det WINDOW w AS (PARTITION BY seq_id, obj_id ORDER BY frame ROWS UNBOUNDED PRECEDING)")
 def running_average(spark, sf):
     w = Window.partitionBy("seq_id", "obj_id").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
     d = fixture.load(spark, sf)[0]
-    return d.select("seq_id", "obj_id", "frame", r6(F.try_divide(F.sum(F.col("score") * F.col("det_idx")).over(w), F.sum("det_idx").over(w)), "average"))
+    return d.select("seq_id", "obj_id", "frame", r6(F.try_divide(F.sum(F.col("score") * F.col("det_idx")).over(w), F.sum("det_idx").over(w)), "average", 12))
 
 
-@query("@v AS (SELECT seq_id, obj_id, frame, round(score - 0.01::DOUBLE * h, 6) AS value FROM det) SELECT seq_id, obj_id, frame, value, max(value) OVER (PARTITION BY seq_id, obj_id ORDER BY frame ROWS UNBOUNDED PRECEDING) AS best FROM v")
+@query("@v AS (SELECT seq_id, obj_id, frame, round(score - 0.01::DOUBLE * h, 6) + 0.0 AS value FROM det) SELECT seq_id, obj_id, frame, value, max(value) OVER (PARTITION BY seq_id, obj_id ORDER BY frame ROWS UNBOUNDED PRECEDING) AS best FROM v")
 def running_best(spark, sf):
     d = fixture.load(spark, sf)[0].select("seq_id", "obj_id", "frame", r6(F.col("score") - F.lit(0.01) * F.col("h"), "value"))
     return d.withColumn("best", F.max("value").over(Window.partitionBy("seq_id", "obj_id").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)))
@@ -801,13 +801,22 @@ def boxes_per_frame(spark, sf):
     return gt(spark, sf).where("active = 1").groupBy("seq_id", "frame").agg(F.count(F.lit(1)).alias("boxes"))
 
 
-@query("SELECT seq_id, obj_id, count(*) AS frames, min(frame) AS first_frame, max(frame) AS last_frame, round(avg(w * h), 6) AS area FROM det GROUP BY ROLLUP (seq_id, obj_id)")
+@query("SELECT coalesce(seq_id, -1) AS seq_id, coalesce(obj_id, -1) AS obj_id, count(*) AS frames, min(frame) AS first_frame, max(frame) AS last_frame, round(avg(w * h), 6) AS area FROM det GROUP BY ROLLUP (seq_id, obj_id)")
 def track_summary(spark, sf):
     d = fixture.load(spark, sf)[0]
-    return d.rollup("seq_id", "obj_id").agg(F.count(F.lit(1)).alias("frames"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), r6(F.avg(F.col("w") * F.col("h")), "area"))
+    return d.rollup("seq_id", "obj_id").agg(F.count(F.lit(1)).alias("frames"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), r6(F.avg(F.col("w") * F.col("h")), "area")).fillna(-1, ["seq_id", "obj_id"])
 
 
 @query("SELECT seq_id, frame, det_idx, score FROM det QUALIFY row_number() OVER (PARTITION BY seq_id, frame ORDER BY score DESC, det_idx) <= 8")
 def detection_cap(spark, sf):
     w = Window.partitionBy("seq_id", "frame").orderBy(F.desc("score"), "det_idx")
     return det(spark, sf).withColumn("n", F.row_number().over(w)).where("n <= 8").select("seq_id", "frame", "det_idx", "score")
+
+
+@query()
+def fundamental_matrix(spark, sf):
+    """Per sequence and frame, the epipolar geometry between ground-truth centres of a frame and
+    the next (at least eight objects), by seeded RANSAC: inliers and the mean residual."""
+    g = gt(spark, sf).select("seq_id", "frame", "obj_id", (F.col("x") + F.col("w") / 2).alias("u"), (F.col("y") + F.col("h") / 2).alias("v"))
+    both = pairs.frame_pairs(g, g).where("a_obj_id = b_obj_id")
+    return epipolar.fundamental_matrices(both)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import configparser
 import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -35,17 +34,12 @@ def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sequences(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """One row per ``seqinfo.ini``: sequence, name, width, height, length, frame_rate."""
-
-    def parse(text: str) -> tuple:
-        c = configparser.ConfigParser()
-        c.read_string(text)
-        s = c["Sequence"]
-        return s.get("name"), s.getint("imWidth"), s.getint("imHeight"), s.getint("seqLength"), s.getint("frameRate", fallback=30)
-
-    schema = "name string, width int, height int, length int, frame_rate int"
-    files = spark.read.option("wholetext", True).text(paths)
-    return files.select(_sequence(2).alias("sequence"), F.udf(parse, schema)("value").alias("i")).select("sequence", "i.*")  # one small file per sequence
+    """One row per ``seqinfo.ini``: sequence, name, width, height, length, frame_rate (30 where
+    the file has none)."""
+    of = lambda key: F.trim(F.regexp_extract("value", rf"(?im)^[ \t]*{key}[ \t]*=([^\r\n]*)", 1))
+    number = lambda key: of(key).try_cast("int")
+    files = spark.read.text(paths, wholetext=True)
+    return files.select(_sequence(2).alias("sequence"), of("name").alias("name"), number("imWidth").alias("width"), number("imHeight").alias("height"), number("seqLength").alias("length"), F.coalesce(number("frameRate"), F.lit(30)).alias("frame_rate"))
 
 
 def image_path(frame: Column, suffix: str = ".jpg") -> Column:
