@@ -83,6 +83,8 @@ class ChunkEncoder:
 
     def learn(self, missing: set[bytes]) -> None:
         """Put every chunk of ``missing`` into the cache, which stays bounded."""
+        if not missing:
+            return
         if len(self.chunks) + len(missing) > CACHED:
             self.chunks.clear()
         if len(self.words) > WORDS:

@@ -154,8 +154,8 @@ def _covered(n: int, ranges: list[dict] | None, length: int) -> np.ndarray:
 
 
 def without_repeats(docs: DataFrame, keep: list[str], length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """Every row of ``docs`` with the columns ``keep``, then n_words, n_removed and kept (the
-    words that stay, joined by one space)."""
+    """Every row of ``docs`` with the columns ``keep``, then __n_words, __n_removed and __kept
+    (the words that stay, joined by one space)."""
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("__doc"), F.xxhash64(as_bytes()).alias("__key"), as_bytes().alias("__text")]
     ranges = repeated_ranges(docs, length, seed).toDF("__doc", "__key", "__ranges")
     cols = docs.select(*keep, *key).join(ranges, ["__doc", "__key"], "left").select(*keep, "__text", "__ranges")
@@ -173,10 +173,10 @@ def without_repeats(docs: DataFrame, keep: list[str], length: int = LENGTH, seed
                 else:
                     n_removed.append(0)
                 kept.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())], names=[*keep, "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())], names=[*keep, "__n_words", "__n_removed", "__kept"])
 
     fields = [docs.schema[c] for c in keep]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_words long, n_removed long, kept binary"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "__n_words long, __n_removed long, __kept binary"])
     return cols.mapInArrow(run, schema)
 
 
@@ -184,12 +184,15 @@ def cleaned(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated words taken out of ``text`` (texts without any stay as they
     are) and ``n_chars`` counted again."""
     out = without_repeats(docs, docs.columns)
-    text = F.when(F.col("n_removed") > 0, F.col("kept").cast("string")).otherwise(F.col("text"))
-    return out.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    some = F.col("__n_removed") > 0
+    out = out.withColumn("text", F.when(some, F.col("__kept").cast("string")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(some, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
 
 
 def removal_digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and the SHA-256 of the kept words of every document."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     out = without_repeats(plain, ["doc_id"])
-    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.sha2("__kept", 256).alias("kept_sha256"))
