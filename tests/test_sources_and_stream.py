@@ -62,3 +62,18 @@ def test_settings(tmp_path):
     with pytest.raises(AttributeError):
         c.missing
     assert config.parser_for(c).parse_args(["--track.age", "4"])
+
+
+def test_runtime_helpers(spark):
+    from trajecta.plans import runtime
+
+    with runtime.Timer() as t:
+        pass
+    assert t.since_start() >= 0 and t.since_last() >= 0
+    m = runtime.Meters()
+    m.add({"loss": 2.0}, 3)
+    m.add({"loss": 6.0})
+    assert m.mean("loss") == 3.0
+    assert runtime.seed_everything(1).integers(100) == runtime.seed_everything(1).integers(100)
+    assert len(runtime.logger("t").handlers) == len(runtime.logger("t").handlers) == 1
+    assert runtime.compose(lambda d: d.where("id > 3"), lambda d: d.limit(2))(spark.range(9)).count() == 2
