@@ -29,7 +29,7 @@ VOCABULARY = "word_bpe_49k.json"
 #: Entries of the broadcast table, and of one task's summary for it.
 FREQUENT, SUMMARY = 16_384, 8_192
 #: Entries of a worker's caches: chunks, and the words inside them.
-CACHED, WORDS = 900_000, 900_000
+CACHED, WORDS = 700_000, 700_000
 #: Words whose lower case and normal form are plain: Latin letters, then punctuation.
 _WORD = re.compile("([a-zß-öø-ÿ]+)([.,;:!?]*)")
 _JOINED = 200
