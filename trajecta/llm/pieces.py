@@ -41,7 +41,7 @@ MODEL = "piece_bpe_32k.model"
 #: Characters of a text that is cut, and of a chunk.
 GIANT, CHUNK = 1 << 15, 1 << 14
 #: Words in a worker's cache.
-CACHED = 700_000
+CACHED = 500_000
 BLANK = "▁"
 
 
