@@ -7,7 +7,9 @@ executor costs a re-read and never a recomputation of everything before it.
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -20,7 +22,6 @@ from pyspark.sql import functions as F
 ROWS_PER_BATCH = 256
 #: Vectorised code handles about this many bytes of text at once.
 BYTES_PER_STEP = 1 << 21
-#: ASCII white space that separates words in the contracts: space, \t \n \v \f \r.
 _WRITTEN: list[str] = []
 
 
@@ -33,9 +34,11 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; where none is set (tests on one machine) an own one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="trajecta-")
+        own = tempfile.mkdtemp(prefix="trajecta-")
+        atexit.register(shutil.rmtree, own, True)
+        named = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
