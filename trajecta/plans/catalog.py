@@ -562,7 +562,7 @@ _UNLIKE = "(abs(a_score - b_score))"
 _LINKS = f"""@p AS (SELECT a.seq_id, a.frame AS a_frame, a.det_idx AS a_det_idx, b.frame AS b_frame, b.det_idx AS b_det_idx, b.frame - a.frame AS gap, a.score AS a_score, b.score AS b_score, a.x AS ax, a.y AS ay, a.w AS aw, a.h AS ah, b.x AS bx, b.y AS by_, b.w AS bw, b.h AS bh FROM det a JOIN det b ON a.seq_id = b.seq_id AND b.frame > a.frame AND b.frame <= a.frame + 2),
 links AS (SELECT seq_id, a_frame AS frame, a_det_idx AS det_idx, b_frame AS next_frame, b_det_idx AS next_idx, gap, round(-ln(0.5::DOUBLE * coalesce({_IOU}, 0) * pow(0.7::DOUBLE, gap - 1) + 0.5::DOUBLE * (1 - {_UNLIKE}) + 1e-5::DOUBLE), 6) + 0.0 AS cost FROM p WHERE NOT ({_FAR})),
 gated AS (SELECT * FROM links WHERE cost <= -ln(0.4::DOUBLE))"""
-_FLOW = flow.FlowSettings(threshold=0.916290731874155, misses=1, most_flow=12)
+_FLOW = flow.FlowSettings(threshold=0.916290731874155, misses=1, most_flow=None)
 
 
 def _links(spark, sf):
@@ -585,9 +585,9 @@ def flow_edges(spark, sf):
 
 @query()
 def mcf_tracks(spark, sf):
-    few = det(spark, sf).where("frame <= 30 AND det_idx <= 12")
+    d = det(spark, sf)
     cost = lambda p: flow.transition_cost(F.abs(F.col("a_score") - F.col("b_score")), 0.7)
-    return flow.flow_tracks(few, flow.transitions(few, cost, _FLOW), _FLOW)
+    return flow.flow_tracks(d, flow.transitions(d, cost, _FLOW), _FLOW)
 
 
 @query("SELECT seq_id, obj_id AS track_id, frame, det_idx, lead(frame, 1, -1) OVER w AS next_frame, lead(det_idx, 1, -1) OVER w AS next_idx, row_number() OVER w::INT AS pos FROM det WINDOW w AS (PARTITION BY seq_id, obj_id ORDER BY frame)")
