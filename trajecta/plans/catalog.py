@@ -601,9 +601,10 @@ def track_links(spark, sf):
 
 
 def _featured(spark, sf, where: str = "score >= 0.7"):
+    """Detections with vector number event_id modulo the number of vectors."""
     d = fixture.load(spark, sf)[0].where(where)
     v = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.col("embedding").alias("feature"))
-    return d.withColumn("vec_id", F.pmod("event_id", F.lit(500))).join(v, "vec_id").drop("vec_id", "event_id")
+    return d.withColumn("vec_id", F.pmod("event_id", F.lit(v.count()))).join(v, "vec_id").drop("vec_id", "event_id")
 
 
 _FEAT = "@fd AS (SELECT det.*, list_transform(embedding, lambda x: x::DOUBLE) AS f FROM det JOIN embeddings ON vec_id = event_id % 500 WHERE score >= 0.7)"
@@ -710,7 +711,7 @@ def kalman_tracks(spark, sf):
 
 @query()
 def dan_tracks(spark, sf):
-    return tracker.appearance_tracks(_featured(spark, sf, "score >= 0.5").drop("obj_id"), new=0.0)
+    return tracker.appearance_tracks(_featured(spark, sf, "true").drop("obj_id"), new=0.0)
 
 
 # ---- transforms -----------------------------------------------------------------------
