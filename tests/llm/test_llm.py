@@ -329,6 +329,16 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(df.where("false"), bench).count() == decontaminate.contaminated(df, bench.where("false")).count() == 0
 
 
+def test_decontamination_of_short_documents_and_null_ids(spark):
+    item = [f"w{k}" for k in range(22)]
+    texts = [(1, ["x", *item[1:-1], "y"]), (2, item[:-1]), (None, item), (3, item[:12])]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = {(r.doc_id, r.start, round(r.similarity, 6)) for r in decontaminate.contaminated(df, bench).collect()}
+    assert got == {(1, 0, 0.8), (2, 0, round(17 / 18, 6)), (None, 0, 1.0)}
+    assert [r.doc_id for r in decontaminate.decontaminated(df, bench).collect()] == [3]
+
+
 def test_pieces_equal_the_library(odd, none, monkeypatch):
     monkeypatch.setattr(pieces, "GIANT", 700)
     monkeypatch.setattr(pieces, "CHUNK", 300)

@@ -7,8 +7,9 @@ and then exactly, by the weighted Jaccard similarity of their ``WIDTH``-word shi
 1. Words are runs of letters and digits in lower case; a shingle is one 64-bit hash.
 2. A window as similar as ``SIMILARITY`` shares at least ``need`` shingles with its item, so
    only documents with that many hits on an item's shingles go on, and only windows that
-   begin or end at a hit (a best window does) and hold ``need`` hits. Nothing similar enough
-   is lost here; what has no part of the benchmark costs one look-up per word.
+   begin or end at a hit, or are the first or the last of the document (a best window is one
+   of these), and hold ``need`` hits. A document shorter than the item is one window. Nothing
+   similar enough is lost here; what has no part of the benchmark costs one look-up per word.
 3. The windows' 64-bit SimHash fingerprints meet the items' in a multi-index: the bits are
    cut into ``RADIUS`` + 1 blocks, and two fingerprints within ``RADIUS`` bits agree in one
    block at least. Blocks are joined for items of the window's length only.
@@ -81,30 +82,36 @@ def items(benchmark: DataFrame, similarity: float) -> DataFrame:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """doc_id, text_key, item_id, start (word), similarity: the best window of each document
-    for each item that it holds; the first of equally good ones."""
+    for each item that it holds; of equally good ones the first that begins or ends at a hit."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.withColumn("text_key", F.xxhash64("text"))
     known = saved(items(benchmark, similarity), "items")
-    marks = known.select(F.explode(F.array_distinct("ihs")).alias("h"), "item_id", "n", "need")
-    each = hashed(rows, "doc_id", "text_key").select("doc_id", "text_key", F.posexplode_outer("hs").alias("p", "h"))
+    marks = known.select(F.explode(F.array_distinct("ihs")).alias("h"), "item_id", "n")
+    each = hashed(rows, "doc_id", "text_key").select("doc_id", "text_key", F.size("hs").alias("size"), F.posexplode_outer("hs").alias("p", "h"))
     marks = F.broadcast(marks) if size_at_most(marks, BROADCAST_SHINGLES) else marks
+    # overlap / (n + m - overlap) >= s with m shingles in the window; a little less for rounding
+    need = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("n") + F.least("n", "size")) - F.lit(1e-9)).cast("int")
     # hits of a document on an item: at most as many as it has words, in one row of theirs
-    hits = each.join(marks, "h").groupBy("doc_id", "text_key", "item_id", "n", "need").agg(F.collect_set("p").alias("at")).where(F.size("at") >= F.col("need"))
-    starts = F.expr("filter(array_distinct(concat(at, transform(at, p -> p - n + 1))), s -> s >= 0 AND size(filter(at, p -> p >= s AND p < s + n)) >= need)")
-    starts = hits.select("doc_id", "text_key", "n", F.explode(starts).alias("s")).distinct()
-    asked = saved(starts.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("n", "s")).alias("asked")), "asked")
-    full = saved(hashed(rows.join(asked, ["doc_id", "text_key"]), "doc_id", "text_key", "asked"), "asked")
-    # a window that reaches beyond the last word has too few shingles to be item-sized
-    windows = full.select("doc_id", "text_key", "hs", F.explode("asked").alias("w")).where(F.col("w.s") + F.col("w.n") <= F.size("hs"))
-    windows = windows.select("doc_id", "text_key", F.col("w.n").alias("n"), F.col("w.s").alias("start"), F.expr("slice(hs, w.s + 1, w.n)").alias("whs")).distinct()
+    hits = each.join(marks, "h").groupBy("doc_id", "text_key", "size", "item_id", "n").agg(F.collect_set("p").alias("at")).withColumn("need", need).where(F.size("at") >= F.col("need"))
+    holds = "size(filter(at, p -> p >= s AND p < s + n)) >= need"
+    hits = hits.withColumn("edges", F.expr(f"filter(array_distinct(concat(at, transform(at, p -> p - n + 1))), s -> s >= 0 AND s + n <= size AND {holds})"))
+    ends = F.expr(f"filter(array_except(array(0, greatest(0, size - n)), edges), s -> {holds})")
+    starts = F.concat(F.transform("edges", lambda s: F.struct(s.alias("s"), F.lit(1).alias("edge"))), F.transform(ends, lambda s: F.struct(s.alias("s"), F.lit(0).alias("edge"))))
+    starts = hits.select("doc_id", "text_key", "n", F.explode(starts).alias("w")).select("doc_id", "text_key", "n", "w.s", "w.edge").distinct()
+    asked = saved(starts.groupBy(F.col("doc_id").alias("of"), F.col("text_key").alias("of_key")).agg(F.collect_list(F.struct("n", "s", "edge")).alias("asked")), "asked")
+    # doc_ids can be null
+    mine = rows.join(asked, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_key") == F.col("of_key")))
+    full = saved(hashed(mine, "doc_id", "text_key", "asked"), "asked")
+    windows = full.select("doc_id", "text_key", "hs", F.explode("asked").alias("w"))
+    windows = windows.select("doc_id", "text_key", F.col("w.n").alias("n"), F.col("w.s").alias("start"), F.col("w.edge").alias("edge"), F.expr("slice(hs, w.s + 1, w.n)").alias("whs")).distinct()
     prints = saved(windows.groupBy("whs", "n").agg(F.count(F.lit(1)).alias("uses")).withColumn("wid", F.xxhash64("whs")).withColumn("fp", fingerprint("whs")), "prints")
     left = prints.select("whs", "n", "fp", F.explode(blocks("fp", radius)).alias("b")).select("whs", "n", "fp", "b.block", "b.value")
     right = known.select("item_id", "n", "ihs", "ifp", F.explode(blocks("ifp", radius)).alias("b")).select("item_id", "n", "ihs", "ifp", "b.block", "b.value")
     near = left.join(right, ["n", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= radius)
     near = near.select("whs", "n", "item_id", "ihs").distinct()
     shared = overlap("whs", "ihs")
-    similar = near.select("whs", "item_id", (shared / (2 * F.col("n") - shared)).alias("similarity")).where(F.col("similarity") >= F.lit(similarity) - F.lit(1e-9))
-    best = windows.join(similar, "whs").groupBy("doc_id", "text_key", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("m"))
+    similar = near.select("whs", "item_id", (shared / (F.col("n") + F.size("whs") - shared)).alias("similarity")).where(F.col("similarity") >= F.lit(similarity) - F.lit(1e-9))
+    best = windows.join(similar, "whs").groupBy("doc_id", "text_key", "item_id").agg(F.max(F.struct("similarity", "edge", (-F.col("start")).alias("back"))).alias("m"))
     return best.select("doc_id", "text_key", "item_id", (-F.col("m.back")).cast("int").alias("start"), F.col("m.similarity").alias("similarity"))
 
 
