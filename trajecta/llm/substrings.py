@@ -4,20 +4,24 @@ A window is ``length`` consecutive words of one document. Windows are the edges
 de Bruijn graph (k = ``length`` words). Consecutive windows that share a minimizer (the
 smallest hash among their runs of ``seed`` words) make a *path*: each of its windows has one
 successor inside it, so a path is a piece without branches and one row stands for all of its
-windows. Equal paths compact into one node by a grouped count, which is pre-aggregated
-before it is shuffled.
+windows. Paths meet by their seeds, which are grouped with partial sums before any shuffle.
 
-* A path with the same content in several documents: every window of it is repeated; in all
+* A seed of one document alone has no repeats and goes no further.
+* A seed whose paths all have the same content: every window of it is repeated; in all
   documents but the first the whole path goes, by its source coordinates.
-* A seed with several different paths is a branch of the graph. There, and only there, paths
-  are taken apart: the first document of each such path gives its single windows, hashed
-  from the source text at their coordinates, and these are joined.
+* A seed with several different paths is a branch of the graph. Equal paths there compact into
+  one again; and only the first document of each takes its path apart into single windows,
+  digested from the source text at their coordinates, and these are joined.
 
-All equal windows have equal minimizers, so no repeat can be missed. Content is compared by
-128-bit hashes. Adjacent windows are glued to spans only when words are removed.
+All equal windows have equal minimizers, so no repeat can be missed. Whether two paths or
+windows are equal is judged by a cryptographic digest of the words themselves, read at their
+source coordinates (128 bits of BLAKE2b over the words joined by one space), so words that
+were chosen to collide in a hash do no harm. Adjacent windows are glued to spans only when
+words are removed.
 
 Rows are matched by doc_id and a hash of the text, so repeated doc_ids with different texts
-do not mix; a null doc_id is later than any other. Null text has no words.
+do not mix; a null doc_id is later than any other. Null text has no words. No rows: no rows.
+Equal rows are treated alike.
 """
 
 from __future__ import annotations
@@ -30,24 +34,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trajecta.llm.common import arrow_map, as_bytes, saved, steps
-from trajecta.llm.wordhash import run_hashes, word_hashes
+from trajecta.llm.wordhash import digests, run_hashes, word_hashes
 
 LENGTH, SEED = 50, 16
 #: Words of one document that are handled at once; longer ones go in overlapping parts.
 PART = 1 << 18
+#: Digests that are made at once.
+AT_ONCE = 1 << 14
 _LAST = (1 << 63) - 1
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
-
-
-def _paths(words: list[np.ndarray], owner: np.ndarray, begin: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, ...]:
-    """Paths of the windows that begin at ``begin`` (positions in ``words``, ascending):
-    first window, number of windows, hash of the seed, two hashes of the content."""
-    n = len(words[0])
+def _paths(words: np.ndarray, owner: np.ndarray, begin: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Paths of the windows that begin at ``begin`` (positions in the hashes ``words``,
+    ascending): first window, number of windows, hash of the seed."""
+    n = len(words)
     at = np.arange(n - seed + 1)
-    mers = run_hashes(words[0], at, at + seed, 2)
+    mers = run_hashes(words, seed)
     bits = np.uint64(max(1, int(n).bit_length()))
     key = (mers >> bits << bits) | at.astype(np.uint64)  # the leftmost of equal hashes
     span, have = length - seed + 1, 1
@@ -60,31 +62,34 @@ def _paths(words: list[np.ndarray], owner: np.ndarray, begin: np.ndarray, length
     new = np.ones(len(begin), bool)
     new[1:] = (where[1:] != where[:-1]) | (begin[1:] != begin[:-1] + 1) | (owner[1:] != owner[:-1])
     first = np.flatnonzero(new)
-    count = np.diff(np.append(first, len(begin)))
-    start = begin[first]
-    end = start + count - 1 + length
-    return first, count, mers[where[first]], run_hashes(words[0], start, end, 0), run_hashes(words[1], start, end, 1)
+    return first, np.diff(np.append(first, len(begin))), mers[where[first]].view(np.int64)
+
 
+def _placed(words: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words joined by one space; where each begins and ends."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    end = np.cumsum(size + 1) - 1
+    return b" ".join(words), end - size, end
 
-def _doc_windows(texts: list[bytes], length: int) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]]:
-    """For groups of documents: word hashes, then for each window its document, its position
-    in the arrays and in the document. A very long document comes in parts that overlap."""
+
+def _doc_windows(texts: list[bytes], length: int) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
+    """For groups of documents: their words, then for each window its document, its position in
+    the words and in the document. A very long document comes in parts that overlap."""
     for i, j in steps(texts):
-        hashed = [word_hashes(t) for t in texts[i:j]]
-        if j - i == 1 and len(hashed[0][0]) > PART:
-            n = len(hashed[0][0])
+        split = [t.split() for t in texts[i:j]]
+        if j - i == 1 and len(split[0]) > PART:
+            n = len(split[0])
             for a in range(0, n - length + 1, PART):
                 b = min(n, a + PART + length - 1)
                 begin = np.arange(b - a - length + 1)
-                yield [h[a:b] for h in hashed[0]], np.full(len(begin), i), begin, begin + a
+                yield split[0][a:b], np.full(len(begin), i), begin, begin + a
             continue
-        sizes = np.array([len(h[0]) for h in hashed])
+        sizes = np.array([len(x) for x in split])
         windows = np.maximum(sizes - length + 1, 0)
         if windows.sum() == 0:
             continue
         local = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-        owner = np.repeat(np.arange(i, j), windows)
-        yield [np.concatenate([h[k] for h in hashed]) for k in (0, 1)], owner, local + np.repeat(np.cumsum(sizes) - sizes, windows), local
+        yield [w for x in split for w in x], np.repeat(np.arange(i, j), windows), local + np.repeat(np.cumsum(sizes) - sizes, windows), local
 
 
 def paths(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
@@ -94,11 +99,21 @@ def paths(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
         for b in batches:
             doc, key = b.column("doc").to_numpy(), b.column("text_key").to_numpy()
             for words, owner, begin, local in _doc_windows(b.column("text").to_pylist(), length):
-                first, count, seeds, c1, c2 = _paths(words, owner, begin, length, seed)
-                own = owner[first]
-                yield {"doc": doc[own], "text_key": key[own], "start": local[first], "windows": count, "seed": _signed(seeds), "c1": _signed(c1), "c2": _signed(c2)}
+                first, count, seeds = _paths(word_hashes(words), owner, begin, length, seed)
+                line, low, high = _placed(words)
+                for k in range(0, len(first), AT_ONCE):
+                    f, c = first[k : k + AT_ONCE], count[k : k + AT_ONCE]
+                    made, own = digests(line, low[begin[f]], high[begin[f] + c - 1 + length - 1]), owner[f]
+                    yield {"doc": doc[own], "text_key": key[own], "start": local[f], "windows": c, "seed": seeds[k : k + AT_ONCE], "c1": made[:, 0], "c2": made[:, 1]}
+
+    return arrow_map(docs, run, "doc long, text_key long, start int, windows int, seed long, c1 long, c2 long")
+
 
-    return arrow_map(docs, run, "doc long, text_key long, start long, windows long, seed long, c1 long, c2 long")
+def _ranges(column: pa.ListArray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """start and windows of each row's list."""
+    at, values = column.offsets.to_numpy(), column.values
+    start, count = values.field("start").to_numpy().astype(np.int64), values.field("windows").to_numpy().astype(np.int64)
+    return [(start[a:b], count[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def _windows(docs: DataFrame, length: int) -> DataFrame:
@@ -107,17 +122,15 @@ def _windows(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             doc, key, texts = b.column("doc").to_numpy(), b.column("text_key").to_numpy(), b.column("text")
-            for i, listed in enumerate(b.column("paths").to_pylist()):
-                words = word_hashes(texts[i].as_py())
-                starts = np.array([p["start"] for p in listed])
-                count = np.array([p["windows"] for p in listed])
-                for k in range(0, len(starts), 1 << 14):
-                    s, c = starts[k : k + (1 << 14)], count[k : k + (1 << 14)]
-                    at = np.repeat(s, c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-                    w1, w2 = (_signed(run_hashes(words[h], at, at + length, h)) for h in (0, 1))
-                    yield {"doc": np.full(len(at), doc[i]), "text_key": np.full(len(at), key[i]), "start": at, "w1": w1, "w2": w2}
+            for i, (start, count) in enumerate(_ranges(b.column("paths"))):
+                line, low, high = _placed(texts[i].as_py().split())
+                at = np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())
+                for k in range(0, len(at), AT_ONCE):
+                    s = at[k : k + AT_ONCE]
+                    made = digests(line, low[s], high[s + length - 1])
+                    yield {"doc": np.full(len(s), doc[i]), "text_key": np.full(len(s), key[i]), "start": s, "w1": made[:, 0], "w2": made[:, 1]}
 
-    return arrow_map(docs, run, "doc long, text_key long, start long, w1 long, w2 long")
+    return arrow_map(docs, run, "doc long, text_key long, start int, w1 long, w2 long")
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -129,27 +142,27 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, seed: int = SEED) ->
     """doc, text_key, ranges: per document the windows to remove, as (start, windows)."""
     rows = _rows(docs)
     found = saved(paths(rows, length, seed), "paths")
-    whole = ["seed", "c1", "c2"]
-    nodes = found.groupBy(*whole).agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-    branch = nodes.groupBy("seed").agg((F.count(F.lit(1)) > 1).alias("branch"))
-    nodes = nodes.join(branch, "seed").where(F.col("branch") | (F.col("first") < F.col("last"))).drop("last")
-    listed = saved(found.join(nodes, whole).select("doc", "text_key", "start", "windows", "first", "branch"), "listed")
-    later = listed.where(F.col("doc") > F.col("first")).select("doc", "text_key", "start", "windows")
-    apart = listed.where((F.col("doc") == F.col("first")) & F.col("branch"))
-    apart = apart.groupBy("doc", "text_key").agg(F.collect_set(F.struct("start", "windows")).alias("paths"))
-    single = saved(_windows(rows.join(apart, ["doc", "text_key"]), length), "windows")
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("c1", "c2") for f in (F.min, F.max)]
+    seeds = found.groupBy("seed").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), *ends).where("first < last")
+    seeds = seeds.select("seed", "first", F.expr("min_c1 < max_c1 OR min_c2 < max_c2").alias("branch"))
+    listed = saved(found.join(seeds.hint("merge"), "seed").drop("seed"), "listed")
+    later = listed.where("NOT branch AND doc > first").select("doc", "text_key", "start", "windows")
+    parted = listed.where("branch").drop("branch", "first")
+    nodes = parted.groupBy("c1", "c2").agg(F.min("doc").alias("first"))
+    parted = parted.join(nodes.hint("merge"), ["c1", "c2"])
+    equal = parted.where(F.col("doc") > F.col("first")).select("doc", "text_key", "start", "windows")
+    apart = parted.where(F.col("doc") == F.col("first")).groupBy("doc", "text_key").agg(F.collect_set(F.struct("start", "windows")).alias("paths"))
+    single = saved(_windows(rows.join(apart.hint("merge"), ["doc", "text_key"]), length), "windows")
     least = single.groupBy("w1", "w2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
-    again = single.join(least, ["w1", "w2"]).where(F.col("doc") > F.col("first")).select("doc", "text_key", "start", F.lit(1).cast("long").alias("windows"))
-    both = later.unionByName(again)
-    return both.groupBy("doc", "text_key").agg(F.collect_set(F.struct("start", "windows")).alias("ranges"))
+    again = single.join(least.hint("merge"), ["w1", "w2"]).where(F.col("doc") > F.col("first")).select("doc", "text_key", "start", F.lit(1).alias("windows"))
+    every = later.unionByName(equal).unionByName(again)
+    return every.groupBy("doc", "text_key").agg(F.collect_set(F.struct("start", "windows")).alias("ranges"))
 
 
-def _covered(n: int, ranges: list[dict] | None, length: int) -> np.ndarray:
+def _covered(n: int, start: np.ndarray, count: np.ndarray, length: int) -> np.ndarray:
     edge = np.zeros(n + 1, np.int64)
-    if ranges:
-        start = np.array([r["start"] for r in ranges])
-        np.add.at(edge, start, 1)
-        np.add.at(edge, np.minimum(start + np.array([r["windows"] for r in ranges]) - 1 + length, n), -1)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, np.minimum(start + count - 1 + length, n), -1)
     return np.cumsum(edge)[:n] > 0
 
 
@@ -157,17 +170,17 @@ def without_repeats(docs: DataFrame, keep: list[str], length: int = LENGTH, seed
     """Every row of ``docs`` with the columns ``keep``, then __n_words, __n_removed and __kept
     (the words that stay, joined by one space)."""
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("__doc"), F.xxhash64(as_bytes()).alias("__key"), as_bytes().alias("__text")]
-    ranges = repeated_ranges(docs, length, seed).toDF("__doc", "__key", "__ranges")
+    ranges = repeated_ranges(docs, length, seed).toDF("__doc", "__key", "__ranges").hint("merge")
     cols = docs.select(*keep, *key).join(ranges, ["__doc", "__key"], "left").select(*keep, "__text", "__ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_words, n_removed, kept = [], [], []
-            for text, ranges in zip(b.column("__text"), b.column("__ranges").to_pylist(), strict=True):
+            for text, (start, count) in zip(b.column("__text"), _ranges(b.column("__ranges")), strict=True):
                 words = text.as_py().split()
                 n_words.append(len(words))
-                if ranges:
-                    gone = _covered(len(words), ranges, length)
+                if len(start):
+                    gone = _covered(len(words), start, count, length)
                     n_removed.append(int(gone.sum()))
                     words = [words[i] for i in np.flatnonzero(~gone)]
                 else:

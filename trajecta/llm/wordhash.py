@@ -1,21 +1,15 @@
-"""Hashes of words and of runs of words, by prefix sums over whole arrays.
-
-A word is a run of bytes other than ASCII white space. Its hash is a sum of byte values
-times powers of an odd number modulo 2^64, taken from prefix sums and mixed; a run of words
-is hashed alike from the words' hashes. Two independent hashes make 128 bits.
-"""
+"""Hashes of words and of runs of words, by arrays. A run's hash is made from the hashes of its
+two halves by a multiplication and a mixing of all bits, again and again, so it is no polynomial
+of the words; it serves to choose and to group, and equality is judged by digests."""
 
 from __future__ import annotations
 
-from functools import lru_cache
+import hashlib
 
 import numpy as np
+import xxhash
 
-_ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
-#: Bytes of a text that are hashed at once.
-PIECE = 1 << 20
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -29,66 +23,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=None)
-def _bytes_table(which: int) -> np.ndarray:
-    return mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD[which]))
-
-
-@lru_cache(maxsize=8)
-def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    base = _ODD[which] | 1
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        p = np.full(n, b, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
-def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2^64."""
-    size = 1 << max(16, (n - 1).bit_length())
-    up, down = _powers(which, size)
-    return up[:n], down[:n]
-
-
-def words_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """First and end byte of each word."""
-    inside = ~_SPACE[np.frombuffer(text, np.uint8)]
-    edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-
-
-def pieces(text: bytes) -> list[bytes]:
-    """Parts of about ``PIECE`` bytes that end at white space (or at a very long word's end)."""
-    out, at = [], 0
-    while len(text) - at > PIECE:
-        cut = at + PIECE
-        while cut < len(text) and text[cut] not in b" \t\n\r\v\f":
-            cut += 1
-        out.append(text[at:cut])
-        at = cut
-    return [*out, text[at:]] if out else [text]
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def word_hashes(text: bytes, which: tuple[int, ...] = (0, 1)) -> list[np.ndarray]:
-    """The words' hashes in order, one array for each of ``which``."""
-    parts: list[list[np.ndarray]] = [[] for _ in which]
-    for piece in pieces(text):
-        begin, end = words_of(piece)
-        buf = np.frombuffer(piece, np.uint8)
-        for k, w in enumerate(which):
-            up, down = powers(w, len(buf) + 1)
-            total = np.zeros(len(buf) + 1, np.uint64)
-            np.cumsum(_bytes_table(w)[buf] * up[: len(buf)], out=total[1:])
-            length = (end - begin).astype(np.uint64)
-            parts[k].append(mixed((total[end] - total[begin]) * down[begin] + length * np.uint64(_ODD[2])))
-    return [np.concatenate(p) for p in parts]
+def run_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """The hash of the ``width`` words from each word on, for all places that have so many."""
+    out, have = mixed(words), 1
+    while have < width and len(out):
+        step = min(have, width - have)
+        out = mixed(out[:-step] * _ODD + out[step:])
+        have += step
+    return out
 
 
-def run_hashes(words: np.ndarray, begin: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
-    """Hashes of words[begin:end] for each pair."""
-    up, down = powers(which, len(words) + 1)
-    total = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * up[: len(words)], out=total[1:])
-    return mixed((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64) * np.uint64(_ODD[3]))
+def digests(line: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128 bits of a cryptographic digest of line[begin:end] for each pair, as two longs."""
+    made = b"".join([hashlib.blake2b(line[a:b], digest_size=16).digest() for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
+    return np.frombuffer(made, "<i8").reshape(-1, 2)
