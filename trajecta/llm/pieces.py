@@ -139,10 +139,11 @@ def plain_ids(texts: list[str], name: str) -> list[bytes]:
 
 
 def _words(text: str) -> list[str]:
-    """Words of a raw text without the blank that leads each; extra blanks stay in front."""
+    """Words of a raw text without the blank that leads each; extra blanks stay in front. The
+    visible blank is a blank like the other."""
     if not text:
         return []
-    parts = text.split(" ")
+    parts = text.replace(BLANK, " ").split(" ")
     if "" not in parts:
         return parts
     out, blanks = [], 0
@@ -287,9 +288,9 @@ def _chunks(row_text: str) -> list[tuple[int, int]]:
     return [(a, min(n, a + CHUNK)) for a in range(0, n, CHUNK)]
 
 
-def encode(docs: DataFrame, model: str = MODEL, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``rid`` (a hash of doc_id and text), doc_id and ids (packed little-endian int32) of each
-    different (doc_id, text). Documents beyond ``GIANT`` characters are cut and scanned."""
+def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
+    """doc_id and ids (packed little-endian int32) of each row. Documents beyond ``GIANT``
+    characters are cut and scanned. No rows: no rows. Equal rows each give a row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     small = rows.where(F.length("text") <= GIANT)
 
@@ -369,7 +370,12 @@ def _giant(giant: DataFrame, model: str) -> DataFrame:
 
     parts = saved(arrow_map(chunks.join(ends, ["rid", "a"]), trace, "doc_id long, rid string, a long, ids binary"), "traced", 32)
     whole = parts.groupBy("rid", "doc_id").agg(F.sort_array(F.collect_list(F.struct("a", "ids"))).alias("parts"))
-    return whole.select("doc_id", F.expr("aggregate(parts, CAST('' AS BINARY), (acc, x) -> concat(acc, x.ids))").alias("ids"))
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            yield {"doc_id": b.column("doc_id"), "ids": [b"".join(x["ids"] for x in r) for r in b.column("parts").to_pylist()]}
+
+    return arrow_map(whole.select("doc_id", "parts"), joined, "doc_id long, ids binary")
 
 
 def chunk_matrix(p: Pieces, part: str, a: int, b: int, lefts: list, rights: list) -> dict:
