@@ -33,13 +33,8 @@ def _symbols(letters_only: bool) -> np.ndarray:
     folded = (0x800 + ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(53))).astype(np.uint16)
     out = np.where(code < 0x800, code, folded).astype(np.uint16)
     out[2:32] = 1
-    for c in range(0x3100):
-        s = chr(c)
-        if s.isspace() or (letters_only and not s.isalpha()):
-            out[c] = 1
-    if letters_only:
-        out[0xD800:0xF900] = 1
-        out[0x1F000:0x20000] = 1
+    plain = (lambda c: c.isalpha()) if letters_only else (lambda c: not c.isspace())
+    out[np.fromiter((not plain(chr(c)) for c in range(0x110000)), bool, 0x110000)] = 1
     out[0] = 0
     return out
 
