@@ -1,10 +1,13 @@
 """GIF columns: code streams, palettes, disposal, transparency, timed frames, colour histograms.
 
 ``encode_gif`` stores bytes as the 8-bit colour indices of an animation (24 x 24 pixels a
-frame, grey palette). ``decode_gif`` is a decoder for any GIF: it reads global and local
-palettes, interlacing, transparency, the disposal methods and delays, and it expands LZW
-code streams of many frames together, by pointer doubling over arrays instead of a loop
-over codes. Nulls count as the empty payload; damaged files raise ValueError.
+frame, LZW compressed, a palette of 3, 3 and 2 bits of red, green and blue; index 255, which
+also fills the last frame, is transparent). ``decode_gif`` is a decoder for any GIF: it reads
+global and local palettes, interlacing, transparency, the disposal methods and delays, and it
+expands LZW code streams of many frames together, by pointer doubling over arrays instead of a
+loop over codes; tables that stay full for long are followed. Colour histograms are those of
+the frames as a viewer shows them. Nulls count as the empty payload; damaged files raise
+ValueError. No rows: no rows; equal rows each give a row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,41 +28,61 @@ from trajecta.llm.common import arrow_map, as_bytes, steps
 
 SIDE = 24
 FRAME = SIDE * SIDE
-#: Literal codes between two clear codes: the code width then stays 9 bits.
-RUN = 254
+#: Colours of a histogram: the two upper bits of red, green and blue.
+COLOURS = 64
+#: Bytes of code streams that are laid side by side at once.
+STREAMS = 1 << 21
 
 
 # ---- code streams ---------------------------------------------------------------------
 
 
-def _layout() -> np.ndarray:
-    """Codes of a frame: -1 - pixel for literals, else the code itself."""
-    out: list[int] = []
-    for begin in range(0, FRAME, RUN):
-        out.append(256)
-        out += [-1 - i for i in range(begin, min(begin + RUN, FRAME))]
-    return np.array([*out, 257])
+def _widths(n: int, size: int) -> np.ndarray:
+    """Bits of the first ``n`` codes after a clear code: entry clear + 2 + (j - 1) exists when
+    code j is read, and no code has more than 12 bits."""
+    filled = (1 << size) + 2 + np.maximum(np.arange(n) - 1, 0)
+    return np.minimum(12, np.maximum(size + 1, np.ceil(np.log2(filled + 1)).astype(int)))
+
+
+def _codes(frame: bytes) -> list[int]:
+    """A frame's codes between the clear and the end code; the table never fills up in one."""
+    known: dict[int, int] = {}
+    out, find, free, now = [], known.get, 258, frame[0]
+    for pixel in frame[1:]:
+        key = now << 8 | pixel
+        code = find(key)
+        if code is None:
+            out.append(now)
+            known[key] = free
+            free += 1
+            now = pixel
+        else:
+            now = code
+    out.append(now)
+    return out
 
 
-_LAYOUT = _layout()
-_CODES = -(-len(_LAYOUT) // 8) * 8
-_STREAM = -(-len(_LAYOUT) * 9 // 8)
+_WIDTHS = _widths(FRAME + 1, 8)
 
 
-def lzw_encode(frames: np.ndarray) -> np.ndarray:
-    """(n, 576) indices -> (n, bytes) code streams of 9-bit codes."""
-    codes = np.zeros((len(frames), _CODES), np.uint16)
-    fixed = _LAYOUT >= 0
-    codes[:, np.flatnonzero(fixed)] = _LAYOUT[fixed]
-    codes[:, np.flatnonzero(~fixed)] = frames
-    eight = codes.reshape(len(frames), -1, 8).astype(np.uint64)
-    low = np.zeros(eight.shape[:2], np.uint64)
-    for i in range(8):  # 8 codes are 72 bits: 64 in one word, the rest in a byte
-        low |= eight[:, :, i] << np.uint64(9 * i)
-    out = np.empty((*low.shape, 9), np.uint8)
-    out[:, :, :8] = low.view(np.uint8).reshape(*low.shape, 8)
-    out[:, :, 8] = (eight[:, :, 7] >> np.uint64(1)).astype(np.uint8)
-    return out.reshape(len(frames), -1)[:, :_STREAM]
+def lzw_encode(frames: list[bytes]) -> list[bytes]:
+    """Code streams of whole frames: a clear code, the frame's codes, the end code."""
+    each = [_codes(f) for f in frames]
+    count = np.fromiter(map(len, each), np.int64, len(each)) + 2
+    codes = np.fromiter((c for x in each for c in (256, *x, 257)), np.int64, int(count.sum()))
+    first = np.cumsum(count) - count
+    place = np.arange(len(codes)) - np.repeat(first, count) - 1
+    bits = np.where(place < 0, 9, _WIDTHS[np.maximum(place, 0)])
+    size = -(-np.add.reduceat(bits, first) // 8)
+    begin = np.cumsum(size) - size
+    total = np.cumsum(bits) - bits
+    at = total - np.repeat(total[first], count) + 8 * np.repeat(begin, count)
+    out = np.zeros(int(size.sum()) + 3, np.uint8)
+    shifted = codes << (at & 7)
+    for k in range(3):  # bits of different codes do not meet, so adding is setting
+        np.add.at(out, (at >> 3) + k, (shifted >> 8 * k & 255).astype(np.uint8))
+    raw = out.tobytes()
+    return [raw[a : a + n] for a, n in zip(begin.tolist(), size.tolist(), strict=True)]
 
 
 def _expand(codes: np.ndarray, count: np.ndarray, clear: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,10 +138,8 @@ def lzw_decode(streams: list[bytes], size: int, pixels: list[int]) -> list[np.nd
     data = np.zeros((len(streams), longest), np.uint8)
     for i, x in enumerate(streams):
         data[i, : len(x)] = np.frombuffer(x, np.uint8)
-    # width of the code after j codes since a clear; entry clear + 2 + (j - 1) exists by then
-    limit = min(4097 - clear, longest * 8 // (size + 1) + 1)
-    filled = clear + 2 + np.maximum(np.arange(limit) - 1, 0)
-    width = np.minimum(12, np.maximum(size + 1, np.ceil(np.log2(filled + 1)).astype(int)))
+    limit = longest * 8 // (size + 1) + 1  # a full table may stay until the stream ends
+    width = _widths(limit, size)
     offset = np.concatenate([[0], np.cumsum(width)])
     bit, open_ = np.zeros(len(streams), np.int64), np.arange(len(streams))
     # the three bytes from each byte on: a code has 12 bits at most and begins in the first
@@ -156,29 +178,25 @@ def lzw_decode(streams: list[bytes], size: int, pixels: list[int]) -> list[np.nd
 
 # ---- the container --------------------------------------------------------------------
 
-_GREY = bytes(v for i in range(256) for v in (i, i, i))
-_HEAD = b"GIF89a" + struct.pack("<HHBBB", SIDE, SIDE, 0xF7, 0, 0) + _GREY
+CLEAR = 255
+_PALETTE = bytes(v for i in range(256) for v in ((i >> 5) * 255 // 7, (i >> 2 & 7) * 255 // 7, (i & 3) * 85))
+_HEAD = b"GIF89a" + struct.pack("<HHBBB", SIDE, SIDE, 0xF7, 0, 0) + _PALETTE
 _LOOP = b"\x21\xff\x0bNETSCAPE2.0\x03\x01\x00\x00\x00"
-_BEFORE = b"\x21\xf9\x04" + struct.pack("<BHB", 1 << 2, 10, 0) + b"\x00" + b"\x2c" + struct.pack("<HHHHB", 0, 0, SIDE, SIDE, 0) + b"\x08"
-
-
-def _frame_rows(streams: np.ndarray) -> np.ndarray:
-    """Whole frames as rows: control block, descriptor and the stream in sub-blocks."""
-    parts = [np.broadcast_to(np.frombuffer(_BEFORE, np.uint8), (len(streams), len(_BEFORE)))]
-    for k in range(0, _STREAM, 255):
-        piece = streams[:, k : k + 255]
-        parts += [np.full((len(streams), 1), piece.shape[1], np.uint8), piece]
-    return np.concatenate([*parts, np.zeros((len(streams), 1), np.uint8)], 1)
+_BEFORE = b"\x21\xf9\x04" + struct.pack("<BHB", 1 << 2 | 1, 10, CLEAR) + b"\x00" + b"\x2c" + struct.pack("<HHHHB", 0, 0, SIDE, SIDE, 0) + b"\x08"
 
 
 def encode_gif(payloads: list[bytes]) -> list[bytes]:
     """Animations whose pixels are the payloads' bytes; each a positive multiple of 576."""
-    counts = [len(p) // FRAME for p in payloads]
-    rows = _frame_rows(lzw_encode(np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, FRAME)))
-    out, at = [], 0
-    for n in counts:
-        out.append(b"".join((_HEAD, _LOOP, rows[at : at + n].tobytes(), b"\x3b")))
-        at += n
+    streams = iter(lzw_encode([p[k : k + FRAME] for p in payloads for k in range(0, len(p), FRAME)]))
+    out = []
+    for p in payloads:
+        parts = [_HEAD, _LOOP]
+        for _ in range(0, len(p), FRAME):
+            x = next(streams)
+            parts.append(_BEFORE)
+            parts += [bytes((len(b),)) + b for b in (x[k : k + 255] for k in range(0, len(x), 255))]
+            parts.append(b"\x00")
+        out.append(b"".join([*parts, b"\x3b"]))
     return out
 
 
@@ -237,9 +255,10 @@ def parse_gif(data: bytes) -> tuple[int, int, list[Frame]]:
 def unpack(frames: list[Frame]) -> None:
     """Fill in ``indices`` of all frames, in groups of one code size."""
     for size in {f.size for f in frames}:
-        mine = [f for f in frames if f.size == size]
-        for k in range(0, len(mine), 512):
-            part = mine[k : k + 512]
+        mine = sorted((f for f in frames if f.size == size), key=lambda f: len(f.stream))
+        while mine:
+            n = max(1, min(512, STREAMS // max(1, len(mine[-1].stream))))
+            mine, part = mine[:-n], mine[-n:]
             for f, x in zip(part, lzw_decode([f.stream for f in part], size, [f.width * f.height for f in part]), strict=True):
                 x = x.reshape(f.height, f.width)
                 if f.interlaced:
@@ -267,24 +286,22 @@ def shown(wide: int, high: int, frames: list[Frame]) -> Iterator[tuple[int, int,
             screen = before
 
 
-def histogram(frames: list[Frame], bins: int = 16) -> np.ndarray:
-    """Pixels of all frames by brightness of their palette colour, without the transparent ones."""
-    total = np.zeros(bins, np.int64)
-    groups: dict[tuple, list[Frame]] = {}
-    for f in frames:
-        groups.setdefault((f.palette, f.transparent), []).append(f)
-    for (palette, transparent), mine in groups.items():
-        n = np.zeros(256, np.int64)
-        for k in range(0, len(mine), 4096):
-            n += np.bincount(np.concatenate([f.indices.ravel() for f in mine[k : k + 4096]]), minlength=256)
-        if transparent is not None:
-            n[transparent] = 0
-        rgb = np.zeros((256, 3))
-        got = np.frombuffer(palette, np.uint8).reshape(-1, 3)
-        rgb[: len(got)] = got
-        grey = (rgb @ [299, 587, 114] / 1000 * bins / 256).astype(int).clip(0, bins - 1)
-        total += np.bincount(grey, weights=n, minlength=bins).astype(np.int64)
-    return total
+def histograms(pictures: list[np.ndarray]) -> np.ndarray:
+    """(pictures, COLOURS) numbers of visible pixels by colour."""
+    if not pictures:
+        return np.zeros((0, COLOURS), np.int64)
+    p = np.stack(pictures).reshape(len(pictures), -1, 4) >> 6
+    bins = p[..., 0].astype(np.int64) << 4 | p[..., 1] << 2 | p[..., 2]
+    bins[p[..., 3] == 0] = COLOURS
+    bins += (COLOURS + 1) * np.arange(len(pictures))[:, None]
+    return np.bincount(bins.ravel(), minlength=(COLOURS + 1) * len(pictures)).reshape(-1, COLOURS + 1)[:, :COLOURS]
+
+
+def seen(wide: int, high: int, frames: list[Frame], at_once: int = 256) -> Iterator[tuple[list[tuple[int, int, np.ndarray]], np.ndarray]]:
+    """Groups of the frames as shown, and their colour histograms."""
+    rows = shown(wide, high, frames)
+    while group := list(islice(rows, at_once)):
+        yield group, histograms([r[2] for r in group])
 
 
 # ---- columns --------------------------------------------------------------------------
@@ -313,33 +330,36 @@ def read_gif(stored: DataFrame) -> DataFrame:
         for b in batches:
             media, ids, n_bytes = b.column("media").to_pylist(), b.column("doc_id"), b.column("n_bytes")
             for i, j in steps(media):
-                each = [parse_gif(m)[2] for m in media[i:j]]
-                unpack([f for frames in each for f in frames])
-                payloads = [b"".join(f.indices.tobytes() for f in frames) for frames in each]
-                hists = [histogram(frames) for frames in each]
+                parsed = [parse_gif(m) for m in media[i:j]]
+                unpack([f for _, _, frames in parsed for f in frames])
+                payloads = [b"".join(f.indices.tobytes() for f in frames) for _, _, frames in parsed]
+                colours = [sum((h.sum(0) for _, h in seen(*x)), np.zeros(COLOURS, np.int64)) for x in parsed]
                 yield {
                     "doc_id": ids[i:j], "n_bytes": n_bytes[i:j], "payload_bytes": [len(p) for p in payloads],
                     "payload_sha256": [hashlib.sha256(p).hexdigest() for p in payloads], "tail_crc32": [zlib.crc32(p[-32:]) for p in payloads],
                     "media_bytes": [len(m) for m in media[i:j]], "media_sha256": [hashlib.sha256(m).hexdigest() for m in media[i:j]],
-                    "feature": [f"hist16={','.join(map(str, h.tolist()))}" for h in hists],
-                    "n_frames": [len(x) for x in each], "duration_cs": [sum(f.delay for f in x) for x in each],
+                    "feature": [f"hist{COLOURS}={','.join(map(str, c.tolist()))}" for c in colours],
+                    "n_frames": [len(x[2]) for x in parsed], "duration_cs": [sum(f.delay for f in x[2]) for x in parsed],
                 }
 
     return arrow_map(stored.select("doc_id", "n_bytes", "media"), run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, duration_cs long")
 
 
 def frame_table(stored: DataFrame) -> DataFrame:
-    """One row per timed frame as shown: doc_id, frame, start_cs, delay_cs, rgba."""
+    """One row per timed frame as shown: doc_id, frame, start_cs, delay_cs, rgba, colours (its
+    histogram)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            for doc_id, m in zip(b.column("doc_id").to_pylist(), b.column("media").to_pylist(), strict=True):
-                wide, high, frames = parse_gif(m)
+            for doc_id, m in zip(b.column("doc_id").to_pylist(), b.column("media"), strict=True):
+                wide, high, frames = parse_gif(m.as_py())
                 unpack(frames)
-                rows = list(shown(wide, high, frames))
-                yield {"doc_id": [doc_id] * len(rows), "frame": list(range(len(rows))), "start_cs": [r[0] for r in rows], "delay_cs": [r[1] for r in rows], "rgba": [r[2].tobytes() for r in rows]}
+                at = 0
+                for rows, colours in seen(wide, high, frames):
+                    yield {"doc_id": [doc_id] * len(rows), "frame": range(at, at + len(rows)), "start_cs": [r[0] for r in rows], "delay_cs": [r[1] for r in rows], "rgba": [r[2].tobytes() for r in rows], "colours": colours.tolist()}
+                    at += len(rows)
 
-    return arrow_map(stored.select("doc_id", "media"), run, "doc_id long, frame int, start_cs long, delay_cs int, rgba binary")
+    return arrow_map(stored.select("doc_id", "media"), run, "doc_id long, frame int, start_cs long, delay_cs int, rgba binary, colours array<long>")
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
