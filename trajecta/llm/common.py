@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Python workers receive at most this many rows at once; texts can be long.
-ROWS_PER_BATCH = 256
+#: Python workers receive at most this many rows, and about this many bytes, at once.
+ROWS_PER_BATCH, BYTES_PER_BATCH = 1024, 1 << 22
 #: Vectorised code handles about this many bytes of text at once.
 BYTES_PER_STEP = 1 << 21
 _WRITTEN: list[str] = []
@@ -28,6 +28,7 @@ _WRITTEN: list[str] = []
 def configure(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
     """Bound the memory of Arrow batches (long texts) for this session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
 
 
 def shared_dir(spark: SparkSession) -> str:
