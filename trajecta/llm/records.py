@@ -68,7 +68,8 @@ def parsed(data: bytes) -> Iterator[tuple[int, int, int | None, np.ndarray]]:
 
 
 def write_records(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int | None = 2) -> None:
-    """Encode every text and write records in ascending doc_id order over all files (nulls first)."""
+    """Encode every text and write records in ascending doc_id order over all files (nulls first;
+    rows with the same doc_id in the order of a hash of the text)."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes().alias("text"))
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -76,12 +77,12 @@ def write_records(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         enc = encoder(vocabulary)
-        end = enc.packed([end_id]) if end_id is not None else b""
+        end = np.array([end_id] if end_id is not None else [], enc.dtype).tobytes()
         block: list[bytes] = []
         size = 0
         for b in batches:
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), encoded(b.column("text").to_pylist(), vocabulary), strict=True):
-                block.append(framed(payload_of(doc_id, ids + end, enc.dtype.itemsize)))
+                block.append(framed(payload_of(doc_id, ids.tobytes() + end, enc.dtype.itemsize)))
                 size += len(block[-1])
                 if size >= BLOCK:
                     yield {"block": [b"".join(block)]}
@@ -89,7 +90,8 @@ def write_records(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_
         if block:
             yield {"block": [b"".join(block)]}
 
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    order = ["doc_id", F.xxhash64("text")]  # a doc_id with many rows is dealt to several files
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     arrow_map(ordered, blocks, "block binary").select(F.col("block").cast("string").alias("value")).write.option("lineSep", EMPTY.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
 
 
@@ -128,6 +130,16 @@ def fetch(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     return wanted.join(named, "file").select(*wanted.columns, cut.alias("payload"))
 
 
+def before_files(index: DataFrame) -> DataFrame:
+    """file, before: the ids of all files before each one, by the files' numbers (which have more
+    digits from the hundred thousandth on, so names would not do)."""
+    # One row per file; a file holds tens of MB, so this window is small beside the data.
+    totals = index.groupBy("file").agg(F.sum("n_tokens").alias("in_file"))
+    number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
+    before = F.sum("in_file").over(Window.orderBy(number).rowsBetween(Window.unboundedPreceding, -1))
+    return totals.select("file", F.coalesce(before, F.lit(0)).alias("before"))
+
+
 def token_records(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int | None = 2, path: str | None = None) -> DataFrame:
     """Write, index and read back: doc_id, start, n_tokens, ids_crc32, file, offset, length.
 
@@ -138,8 +150,4 @@ def token_records(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int | N
     at = path or new_path(spark, "records")
     write_records(docs, f"{at}/data", vocabulary, end_id)
     index = write_index(spark, f"{at}/data", f"{at}/index")
-    # One row per file; a file holds tens of MB, so this window is small beside the data.
-    totals = index.groupBy("file").agg(F.sum("n_tokens").alias("in_file"))
-    before = F.coalesce(F.sum("in_file").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    files = totals.select("file", before.alias("before"))
-    return index.join(files, "file").select("doc_id", (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids_crc32", "file", "offset", "length")
+    return index.join(before_files(index), "file").select("doc_id", (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids_crc32", "file", "offset", "length")
