@@ -1,6 +1,7 @@
 """Every operator against a brute-force version, with odd tables."""
 
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -71,6 +72,33 @@ def test_token_records(spark, odd, none, tmp_path):
     assert records.token_records(none).count() == 0
 
 
+def test_files_are_in_order_of_their_numbers(spark):
+    rows = [(f"part-{n}-x.txt", 10) for n in ("00002", "99999", "100000", "100001")]
+    got = {r.file: r.before for r in records.before_files(spark.createDataFrame(rows, "file string, n_tokens long")).collect()}
+    assert [got[f] for f, _ in rows] == [0, 10, 20, 30]
+
+
+def test_records_of_repeated_and_null_ids(spark, tmp_path):
+    tok = bpe.ChunkEncoder(bpe.VOCABULARY).tok
+    docs = frame(spark, ["b c", "a", None, "a", "zz top"], [4, 4, None, 4, 2])
+    got = sorted(records.token_records(docs, path=f"file://{tmp_path}/r").collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, 2, 4, 4, 4] and got[0].n_tokens == 1
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(5)]
+    want = sorted(zlib.crc32(np.array([*tok.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()) for t in ("b c", "a", "a"))
+    assert sorted(r.ids_crc32 for r in got[2:]) == want
+
+
+def test_array_merges_equal_the_library():
+    rng = np.random.default_rng(3)
+    enc = bpe.ChunkEncoder(bpe.VOCABULARY)
+    signs = list("aAbeEnrst zZéÉßÿŸ×÷'<>|.,!?-_019 \t\n") + ["İ", "K", "\u0301", "漢", "\x1c", "\x00", "\u00a0", "<|endoftext|>", "it's"]
+    texts = ["".join(rng.choice(signs, int(rng.integers(0, 40)))) for _ in range(3000)]
+    texts += ["A" * n for n in range(28, 40)] + ["é" * n for n in range(12, 20)] + ["the theory of everything " * 50]
+    ids, count = enc.encode([t.encode() for t in texts])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == [e.ids for e in enc.tok.encode_batch(texts, add_special_tokens=False)]
+    assert enc.counts([t.encode() for t in texts]).tolist() == count.tolist()
+
+
 def test_damaged_records_are_found():
     good = records.framed(records.payload_of(5, b"\x01\x00", 2)) + records.EMPTY
     assert [(d, i.tolist()) for _, _, d, i in records.parsed(good)] == [(5, [1])]
@@ -122,14 +150,49 @@ def test_lzw_streams(size, n, colours):
     assert np.array_equal(got[0], px) and np.array_equal(got[1], other)
 
 
+def test_lzw_with_a_full_table():
+    """The encoder keeps a full table to the end of the stream (a deferred clear code)."""
+    px = np.random.default_rng(7).integers(0, 200, 30_000).astype(np.uint8)
+    bits, known, free, cur, w, n = [], {(i,): i for i in range(256)}, 258, (), 9, 0
+
+    def emit(c):
+        bits.extend(c >> k & 1 for k in range(w))
+
+    emit(256)
+    for x in px.tolist():
+        if (*cur, x) in known:
+            cur = (*cur, x)
+            continue
+        emit(known[cur])
+        n += 1
+        if free < 4096:
+            known[*cur, x] = free
+            free += 1
+            w += free - 1 == 1 << w and w < 12
+        cur = (x,)
+    emit(known[cur])
+    emit(257)
+    stream = np.packbits(np.array(bits, np.uint8), bitorder="little").tobytes()
+    assert n > 4096 and np.array_equal(media.lzw_decode([stream], 8, [len(px)])[0], px)
+
+
 def test_media_columns(odd, none):
     stored = media.store_gif(odd)
     for r in media.read_gif(stored).collect():
         text = texts_of(odd)[r.doc_id].encode()
         payload = text + b"\xff" * (max(1, -(-len(text) // 576)) * 576 - len(text))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(text), len(payload), hashlib.sha256(payload).hexdigest())
-        assert r.tail_crc32 == zlib.crc32(payload[-32:]) and sum(map(int, r.feature[7:].split(","))) == len(payload)
-    assert media.frame_table(stored.where("doc_id = 3")).first().delay_cs == 10
+        screen, colours = [None] * 576, [0] * 64
+        for k in range(0, len(payload), 576):
+            screen = [old if i == 255 else i for i, old in zip(payload[k : k + 576], screen, strict=True)]
+            for i in screen:
+                if i is not None:
+                    colours[((i >> 5) * 255 // 7 >> 6) * 16 + ((i >> 2 & 7) * 255 // 7 >> 6) * 4 + ((i & 3) * 85 >> 6)] += 1
+        assert r.tail_crc32 == zlib.crc32(payload[-32:]) and r.feature == f"hist64={','.join(map(str, colours))}"
+        assert len(payload) < 10_000 or r.media_bytes < len(payload)
+    for r in media.frame_table(stored.where("doc_id = 7")).collect():
+        assert (r.delay_cs, r.start_cs) == (10, 10 * r.frame) and sum(r.colours) == sum(np.frombuffer(r.rgba, np.uint8)[3::4] > 0)
+    assert media.media_columns(stored.select(F.col("doc_id"), F.lit("x").alias("text"), F.lit(1).alias("media"))).count() == stored.count()
     assert media.media_columns(none).count() == 0
 
 
@@ -168,6 +231,16 @@ def test_substring_dedup(spark, odd, none, part, monkeypatch):
     assert substrings.removal_digest(none).count() == 0
 
 
+def test_substring_dedup_of_words_made_to_collide(spark):
+    """A Thue-Morse word and its complement: equal under any polynomial hash modulo 2^64."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    lines = [" ".join([a, *prose(3, 60).split()]), " ".join([b, *prose(3, 60).split()]), " ".join(a if bin(i).count("1") % 2 else b for i in range(128)), " ".join(b if bin(i).count("1") % 2 else a for i in range(128))]
+    docs = frame(spark, lines)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.removal_digest(docs).collect()}
+    assert got == brute_removal(texts_of(docs)) and got[1][1] == 60 and got[0][1] == 0
+
+
 def test_substring_dedup_of_repeated_ids(spark):
     t = prose(5, 80)
     docs = frame(spark, [t, t, prose(6, 80), t], [1, 1, 1, None])
@@ -251,6 +324,12 @@ def test_language(spark, sf, none):
     assert language.identify(none).count() == 0
 
 
+def test_texts_without_letters_have_no_language(spark):
+    rows = [(1, "hello there you all", "en"), (3, "bonjour tout le monde", "fr")] + [(10 + k, t, None) for k, t in enumerate(["１２３", "！！", "\ufffd", "\ufe0f", "𝟏𝟐", "12 !?", "", None])]
+    got = {r.doc_id: r.lang_pred for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert {got[k] for k in range(10, 18)} == {"und"} and "und" not in (got[1], got[3])
+
+
 def test_kneser_ney_sums_to_one(spark):
     texts = ["abracadabra", "banana band", "cab"]
     codes = np.concatenate([kneser.grams(texts, 3, False)[0]])
@@ -351,6 +430,19 @@ def test_pieces_equal_the_library(odd, none, monkeypatch):
     assert pieces.round_trip(none).count() == 0
 
 
+def test_visible_blanks_are_blanks(spark, monkeypatch):
+    sp = pieces.Pieces(pieces.MODEL).sp
+    texts = ["".join(t) for n in range(6) for t in itertools.product("a ▁", repeat=n)]
+    got = pieces.plain_ids(texts, pieces.MODEL)
+    assert [np.frombuffer(x, np.int32).tolist() for x in got] == [sp.encode(t) for t in texts]
+    monkeypatch.setattr(pieces, "GIANT", 50)
+    monkeypatch.setattr(pieces, "CHUNK", 20)
+    rng = np.random.default_rng(1)
+    long = ["".join(rng.choice(["a", " ", "▁", "the ", "ab"], 60)) for _ in range(8)]
+    rows = {r.doc_id: np.frombuffer(r.ids, np.int32).tolist() for r in pieces.encode(frame(spark, long)).collect()}
+    assert rows == {i: sp.encode(t) for i, t in enumerate(long)}
+
+
 def test_scan_is_associative():
     a, b, c = {1: {2: 0.0, 3: 0.0}}, {2: {4: 0.0}, 3: {5: 0.0}}, {4: {6: 0.0}}
     assert pieces.product(pieces.product(a, b), c) == pieces.product(a, pieces.product(b, c)) == pieces.scan([a, b, c])[-1]
