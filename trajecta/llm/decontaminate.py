@@ -5,21 +5,27 @@ and then exactly, by the weighted Jaccard similarity of their ``WIDTH``-word shi
 (weights are the numbers of occurrences).
 
 1. Words are runs of letters and digits in lower case; a shingle is one 64-bit hash.
-2. A window as similar as ``SIMILARITY`` shares at least ``need`` shingles with its item, so
-   only documents with that many hits on an item's shingles go on, and only windows that
-   begin or end at a hit, or are the first or the last of the document (a best window is one
-   of these), and hold ``need`` hits. A document shorter than the item is one window. Nothing
-   similar enough is lost here; what has no part of the benchmark costs one look-up per word.
-3. The windows' 64-bit SimHash fingerprints meet the items' in a multi-index: the bits are
-   cut into ``RADIUS`` + 1 blocks, and two fingerprints within ``RADIUS`` bits agree in one
-   block at least. Blocks are joined for items of the window's length only.
-4. Fingerprints within the radius are verified by the exact similarity.
+2. A window as similar as ``SIMILARITY`` shares at least ``need`` shingles with its item, so an
+   index of the items' shingles gives the candidates: only documents with that many hits on an
+   item's shingles go on, and only windows that begin or end at a hit, or are the first or the
+   last of the document (a best window is one of these), and hold ``need`` hits. A document
+   shorter than the item is one window. Nothing similar enough is lost here; what has no part
+   of the benchmark costs one look-up per word.
+3. The 64-bit SimHash fingerprints of a candidate window and its item must agree within
+   ``RADIUS`` bits.
+4. Pairs within the radius are verified by the exact similarity.
 
 A shingle that a similar pair does not share moves a fingerprint's bit by one vote of n, so
 a similarity of 0.8 or more leaves about 10 differing bits on average and hardly ever more
-than 20; ``RADIUS`` is 26. Items shorter than ``WIDTH`` words have no shingle and match
-nothing. Items with equal words are one item (the smallest item_id). Null texts have no
-words. Rows with the same doc_id are told apart by a hash of the text.
+than 20; ``RADIUS`` is 26. A multi-index that is sure to find this radius would need 27 blocks
+of 2 or 3 bits, that is, nearly all windows would meet all items of their length; the index of
+shingles finds the same pairs without that join.
+
+An item of fewer than ``WIDTH`` words has no shingle: it matches documents that consist of
+its words and nothing else. Items without words match nothing. Items with equal words are one
+item (the smallest item_id). Null texts have no words. Rows with the same doc_id are told apart
+by a hash of the text; equal rows give one result. No documents or no items: no rows. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -59,25 +65,25 @@ def fingerprint(hs: str) -> Column:
     )
 
 
-def blocks(fp: str, radius: int) -> Column:
-    """(block, value) of the ``radius`` + 1 blocks of bits."""
-    n = radius + 1
-    edges = [64 * k // n for k in range(n + 1)]
-    made = [F.struct(F.lit(k).alias("block"), F.shiftright(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")).alias("value")) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
-    return F.array(*made)
-
-
 def overlap(a: str, b: str) -> Column:
     """Shared shingles of two arrays with their numbers of occurrences."""
     return F.expr(f"aggregate(array_intersect({a}, {b}), 0L, (n, h) -> n + least(size(filter({a}, x -> x = h)), size(filter({b}, x -> x = h))))")
 
 
-def items(benchmark: DataFrame, similarity: float) -> DataFrame:
-    """item_id, ihs, n (shingles), need (shared shingles that ``similarity`` takes), ifp."""
+def items(benchmark: DataFrame) -> DataFrame:
+    """item_id, ihs, n (shingles), ifp of the items that have shingles."""
     made = hashed(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), "item_id").withColumnRenamed("hs", "ihs")
     one = made.groupBy("ihs").agg(F.min("item_id").alias("item_id")).withColumn("n", F.size("ihs")).where("n > 0")
-    # overlap / (2 n - overlap) >= s; a little less for rounding
-    return one.withColumn("need", F.ceil(F.lit(2 * similarity / (1 + similarity)) * F.col("n") - F.lit(1e-9)).cast("int")).withColumn("ifp", fingerprint("ihs"))
+    return one.withColumn("ifp", fingerprint("ihs"))
+
+
+def _short(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Documents that are a short item, word for word."""
+    few = F.size("w").between(1, WIDTH - 1)
+    mine = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words().alias("w")).where(few)
+    mine = mine.groupBy("w").agg(F.min("item_id").alias("item_id"))
+    brief = rows.select("doc_id", "text_key", words().alias("w")).where(few)
+    return brief.join(mine, "w").select("doc_id", "text_key", "item_id", F.lit(0).alias("start"), F.lit(1.0).alias("similarity")).distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
@@ -85,10 +91,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     for each item that it holds; of equally good ones the first that begins or ends at a hit."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.withColumn("text_key", F.xxhash64("text"))
-    known = saved(items(benchmark, similarity), "items")
+    known = saved(items(benchmark), "items")
     marks = known.select(F.explode(F.array_distinct("ihs")).alias("h"), "item_id", "n")
     each = hashed(rows, "doc_id", "text_key").select("doc_id", "text_key", F.size("hs").alias("size"), F.posexplode_outer("hs").alias("p", "h"))
-    marks = F.broadcast(marks) if size_at_most(marks, BROADCAST_SHINGLES) else marks
+    few = size_at_most(marks, BROADCAST_SHINGLES)
+    marks = F.broadcast(marks) if few else marks
     # overlap / (n + m - overlap) >= s with m shingles in the window; a little less for rounding
     need = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("n") + F.least("n", "size")) - F.lit(1e-9)).cast("int")
     # hits of a document on an item: at most as many as it has words, in one row of theirs
@@ -97,22 +104,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     hits = hits.withColumn("edges", F.expr(f"filter(array_distinct(concat(at, transform(at, p -> p - n + 1))), s -> s >= 0 AND s + n <= size AND {holds})"))
     ends = F.expr(f"filter(array_except(array(0, greatest(0, size - n)), edges), s -> {holds})")
     starts = F.concat(F.transform("edges", lambda s: F.struct(s.alias("s"), F.lit(1).alias("edge"))), F.transform(ends, lambda s: F.struct(s.alias("s"), F.lit(0).alias("edge"))))
-    starts = hits.select("doc_id", "text_key", "n", F.explode(starts).alias("w")).select("doc_id", "text_key", "n", "w.s", "w.edge").distinct()
-    asked = saved(starts.groupBy(F.col("doc_id").alias("of"), F.col("text_key").alias("of_key")).agg(F.collect_list(F.struct("n", "s", "edge")).alias("asked")), "asked")
+    starts = hits.select("doc_id", "text_key", "item_id", "n", F.explode(starts).alias("w")).select("doc_id", "text_key", F.struct("item_id", "n", "w.s", "w.edge").alias("w")).distinct()
+    asked = saved(starts.groupBy(F.col("doc_id").alias("of"), F.col("text_key").alias("of_key")).agg(F.collect_list("w").alias("asked")), "asked")
     # doc_ids can be null
-    mine = rows.join(asked, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_key") == F.col("of_key")))
-    full = saved(hashed(mine, "doc_id", "text_key", "asked"), "asked")
+    mine = rows.join(asked.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_key") == F.col("of_key")))
+    full = saved(hashed(mine, "doc_id", "text_key", "asked"), "full")
     windows = full.select("doc_id", "text_key", "hs", F.explode("asked").alias("w"))
-    windows = windows.select("doc_id", "text_key", F.col("w.n").alias("n"), F.col("w.s").alias("start"), F.col("w.edge").alias("edge"), F.expr("slice(hs, w.s + 1, w.n)").alias("whs")).distinct()
-    prints = saved(windows.groupBy("whs", "n").agg(F.count(F.lit(1)).alias("uses")).withColumn("wid", F.xxhash64("whs")).withColumn("fp", fingerprint("whs")), "prints")
-    left = prints.select("whs", "n", "fp", F.explode(blocks("fp", radius)).alias("b")).select("whs", "n", "fp", "b.block", "b.value")
-    right = known.select("item_id", "n", "ihs", "ifp", F.explode(blocks("ifp", radius)).alias("b")).select("item_id", "n", "ihs", "ifp", "b.block", "b.value")
-    near = left.join(right, ["n", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= radius)
-    near = near.select("whs", "n", "item_id", "ihs").distinct()
+    windows = windows.select("doc_id", "text_key", "w.item_id", F.col("w.s").alias("start"), "w.edge", F.expr("slice(hs, w.s + 1, w.n)").alias("whs"))
+    # equal windows of an item are compared once
+    prints = saved(windows.groupBy("whs", "item_id").agg(F.count(F.lit(1)).alias("uses")).withColumn("fp", fingerprint("whs")), "prints")
+    kept = known.select("item_id", "n", "ihs", "ifp")
+    kept = F.broadcast(kept) if few else kept
+    near = prints.join(kept, "item_id").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= radius)
     shared = overlap("whs", "ihs")
     similar = near.select("whs", "item_id", (shared / (F.col("n") + F.size("whs") - shared)).alias("similarity")).where(F.col("similarity") >= F.lit(similarity) - F.lit(1e-9))
-    best = windows.join(similar, "whs").groupBy("doc_id", "text_key", "item_id").agg(F.max(F.struct("similarity", "edge", (-F.col("start")).alias("back"))).alias("m"))
-    return best.select("doc_id", "text_key", "item_id", (-F.col("m.back")).cast("int").alias("start"), F.col("m.similarity").alias("similarity"))
+    found = windows.join(similar.hint("merge"), ["whs", "item_id"])
+    best = found.groupBy("doc_id", "text_key", "item_id").agg(F.max(F.struct("similarity", "edge", (-F.col("start")).alias("back"))).alias("m"))
+    best = best.select("doc_id", "text_key", "item_id", (-F.col("m.back")).cast("int").alias("start"), F.col("m.similarity").alias("similarity"))
+    return best.unionByName(_short(rows, benchmark))
 
 
 def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,6 +132,6 @@ def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key")).distinct()
+    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key")).distinct().hint("merge")
     match = docs["doc_id"].cast("long").eqNullSafe(bad["__doc"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["__key"])
     return docs.join(bad, match, "left_anti")

@@ -88,6 +88,7 @@ o AS (SELECT wc.doc_id, wc.item_id, wc.n, wc.s, sum(least(wc.c, ic.c)) AS shared
 r AS (SELECT doc_id, item_id, s, shared / (2 * n - shared) AS similarity FROM o WHERE shared / (2 * n - shared) >= 0.8 - 1e-9),
 b AS (SELECT doc_id, item_id, s, similarity, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, s) AS rn FROM r)
 SELECT doc_id, item_id, s::INTEGER AS start, round(similarity::DOUBLE, 6) AS similarity FROM b WHERE rn = 1
+UNION ALL SELECT doc_id, i.item_id, 0, 1.0::DOUBLE FROM dw JOIN (SELECT w, min(item_id) AS item_id FROM iw WHERE len(w) BETWEEN 1 AND 4 GROUP BY w) i USING (w)
 """
 
 
