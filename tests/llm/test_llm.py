@@ -462,3 +462,119 @@ def test_pipeline_on_planted_cases(spark, sf, tmp_path):
     out = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
     assert out.count() == docs.count()
     clean(spark)
+
+
+def edited(words, every, seed):
+    rng = np.random.default_rng(seed)
+    return [word(rng, 6) if k % every == every - 1 else w for k, w in enumerate(words)]
+
+
+def test_near_copies_by_five_word_shingles(spark):
+    """A third of the rows are copies of one text; edited texts go from 0.8 on, others stay."""
+    base = [prose(100 + k, 200).split() for k in range(20)]
+    texts = [" ".join(b) for b in base]
+    near = [" ".join(edited(b, 60, k)) for k, b in enumerate(base)]  # 3 of 200 words: about 0.86
+    far = [" ".join(edited(b, 9, k)) for k, b in enumerate(base)]
+    rows = [(k, t) for k, t in enumerate([*texts, *near, *far, *[texts[0]] * 40, None, "", " \n", "one two", "ONE  two"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r.doc_id for r in simhash.one_of_each(df).collect())
+    words = {i: (t or "").lower().split() for i, t in rows}
+    sets = {i: frozenset(" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset() for i, w in words.items()}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sets:
+        for j in range(i):
+            union = len(sets[i] | sets[j])
+            if (len(sets[i] & sets[j]) / union if union else 1.0) >= 0.8:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    want = sorted({find(i) for i in sets})
+    assert set(want) <= set(kept) and len(kept) <= len(want) + 2  # nine tenths of the twenty near copies at least
+
+
+def test_decontamination_by_short_items_repeats_and_extra_columns(spark):
+    bench = spark.createDataFrame([(5, "Yes, it is!"), (6, "yes it is"), (7, ""), (8, None), (9, " ".join(f"w{k}" for k in range(20)))], "item_id long, text string")
+    rows = [(1, "YES it is"), (1, "YES it is"), (2, "yes it is so"), (3, "yes"), (4, None), (None, "yes: it is"), (1, " ".join(f"w{k}" for k in range(20)))]
+    df = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], "doc_id long, text string, item_id string, start int, similarity int")
+    got = sorted((r.doc_id or 0, r.item_id, r.similarity) for r in decontaminate.contaminated(df, bench).collect())
+    assert got == [(0, 5, 1.0), (1, 5, 1.0), (1, 9, 1.0)]
+    left = decontaminate.decontaminated(df, bench)
+    assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == [2, 3, 4]
+
+
+def plain_kneser_ney(texts, order, modified):
+    """Probability of a gram (a tuple of symbols), straight from the definition."""
+    from collections import Counter, defaultdict
+
+    tables = {order: Counter(g for t in texts for g in zip(*[([0] * (order - 1) + t)[k:] for k in range(order)]))}
+    for m in range(order - 1, 0, -1):
+        tables[m] = Counter(g[1:] for g in tables[m + 1])
+    cuts = {}
+    for m, c in tables.items():
+        n = Counter(c.values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] + 2 * n[2] else 0.5
+        d = [k - ((k + 1) * y * n[k + 1] / n[k] if n[k] else k * 0.5) for k in (1, 2, 3)] if modified else [y] * 3
+        cuts[m] = [max(0.05, min(x, 0.95 * (k + 1 if modified else 1))) for k, x in enumerate(d)]
+    sums, taken = defaultdict(lambda: defaultdict(int)), defaultdict(lambda: defaultdict(float))
+    for m, c in tables.items():
+        for g, n in c.items():
+            sums[m][g[:-1]] += n
+            taken[m][g[:-1]] += cuts[m][min(n, 3) - 1]
+
+    def p(g):
+        if not g:
+            return 1 / 4096
+        m, low = len(g), p(g[1:])
+        if g[:-1] not in sums[m]:
+            return low
+        n, total = tables[m][g], sums[m][g[:-1]]
+        return ((n - cuts[m][min(n, 3) - 1]) / total if n else 0.0) + taken[m][g[:-1]] / total * low
+
+    return p
+
+
+def symbols(text, letters_only):
+    out = []
+    for c in text:
+        s = 1 if c.isspace() or (letters_only and not c.isalpha()) else ord(c)
+        if s != 1 or not out or out[-1] != 1:
+            out.append(s)
+    return out
+
+
+@pytest.mark.parametrize("shard", [quality.SHARD, 60])
+def test_perplexity_against_the_definition(spark, shard):
+    rows = [(1, "abra cadabra ab", "x"), (2, "banana band", "x"), (3, "le chat  et le chien", "y"), (4, "unseen zebra", "x"), (5, "un chat", "z"), (6, "", "x"), (7, None, None), (4, "unseen zebra", "x")]
+    df = spark.createDataFrame([(*r, "q", 1.0) for r in rows], "doc_id long, text string, lang string, perplexity string, n double")
+    good = spark.createDataFrame([(1,), (2,), (3,), (3,), (None,)], "doc_id long")
+    got = [(r.doc_id, r.n_symbols, r.perplexity) for r in quality.perplexities(df, good, shard).collect()]
+    assert len(got) == len(rows)
+    texts = {i: symbols(t or "", False) for i, t, _ in rows}
+    models = {"x": plain_kneser_ney([texts[1], texts[2]], 4, True), "y": plain_kneser_ney([texts[3]], 4, True), "": plain_kneser_ney([texts[1], texts[2], texts[3]], 4, True)}
+    for i, t, lang in rows:
+        s, p = texts[i], models.get(lang, models[""])
+        logs = [np.log(p(tuple(([0] * 3 + s)[k : k + 4]))) for k in range(len(s))]
+        want = np.exp(-np.mean(logs)) if s else None
+        assert any(a == i and n == len(s) and (v == want if want is None else v == pytest.approx(want, rel=1e-9)) for a, n, v in got)
+    assert quality.perplexities(df.where("false"), good).count() == 0
+    assert [r.keep for r in quality.quality(df, spark.createDataFrame([], "doc_id long, quality int")).collect()] == [False] * len(rows)
+
+
+@pytest.mark.parametrize("most", [language.SHARD, 40])
+def test_entropies_against_the_definition(spark, most):
+    rows = [(1, "the cat and the hat", "en"), (3, "a band of men", "en"), (4, "le chat et le chien", "fr"), (20, "the chien zzz", None), (20, "the chien zzz", None)]
+    assert all(zlib.crc32(str(r[0]).encode()) % 4 != 2 for r in rows[:3])
+    df = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, lang string, score double")
+    got = language.predict(df, *language.train(df, most)).collect()
+    models = {x: plain_kneser_ney([symbols(t, True) for _, t, y in rows if y == x], 4, False) for x in ("en", "fr")}
+    assert len(got) == len(rows)
+    for i, t, _ in rows:
+        s = symbols(t, True)
+        each = {x: -np.mean([np.log(p(tuple(([0] * 3 + s)[k : k + 4]))) for k in range(len(s))]) for x, p in models.items()}
+        best = min(each, key=each.get)
+        assert all(r.lang_pred == best and r.entropy == pytest.approx(each[best], rel=1e-5) for r in got if r.doc_id == i)

@@ -61,12 +61,20 @@ def saved(df: DataFrame, label: str, rows: int = ROWS_PER_BATCH) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clean(spark: SparkSession) -> None:
-    """Delete every table that :func:`saved` has written in this session."""
+def written() -> int:
+    """How many tables :func:`saved` has written so far and nobody has deleted."""
+    return len(_WRITTEN)
+
+
+def clean(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the tables that :func:`saved` has written in this session, from number ``since`` on
+    and but for the last ``keep`` ones."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _WRITTEN:
-        at = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    gone = _WRITTEN[since : len(_WRITTEN) - keep]
+    del _WRITTEN[since : len(_WRITTEN) - keep]
+    for name in gone:
+        at = jvm.org.apache.hadoop.fs.Path(name)
         at.getFileSystem(conf).delete(at, True)
 
 

@@ -18,28 +18,38 @@ the same pairs in the end:
    are listed, however large it is, and no link between components is lost.
 
 Equal fingerprints are one node from the start. Links become components on the cluster.
+
+``one_of_each`` wants five-word shingles that agree to 0.8 or more. Such a pair's fingerprints
+of five-word shingles differ in about 10 of 64 bits, which no ball of a usable size covers. But
+it differs in few single words: the fingerprints of the *words* are mostly within 4 bits. So
+candidates are the links of two independent fingerprints of single words, by the same ball
+hashing, and each is verified by the exact similarity of the sets of five-word shingles.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trajecta.llm.common import arrow_map, as_bytes, saved
 from trajecta.llm.components import components
 
 RADIUS, WIDTH, SEED = 4, 4, 42
+#: Words of a shingle and least similarity of near copies.
+SHINGLE, SIMILARITY = 5, 0.8
 #: Fingerprints of one key whose pairs are verified on the spot.
 FEW = 32
 _BLOCKS = ((0, 22), (22, 21), (43, 21))
 #: Shingles whose bits are summed at once.
 _AT_ONCE = 1 << 14
+_LAST = (1 << 63) - 1
 
 
 def fingerprint(text: bytes, width: int = WIDTH) -> int:
@@ -191,18 +201,112 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -
     return prints.join(classes, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
 
 
-def one_of_each(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest
-    doc_id stays (null ids last, then by a hash of the text; of equal rows one)."""
-    last = F.lit((1 << 63) - 1)
-    found = near_duplicates(docs, width, radius).withColumn("id", F.coalesce("doc_id", last))
-    least = found.groupBy("root").agg(F.min("id").alias("id"))
-    same = found.join(least, ["root", "id"]).groupBy("root", "id").agg(F.min("text_key").alias("text_key"))
-    stay = same.select(F.col("id").alias("__id"), F.col("text_key").alias("__key"))
-    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), last)).withColumn("__key", F.xxhash64(as_bytes()))
-    kept = keyed.join(stay, ["__id", "__key"], "left_semi")
-    place = F.row_number().over(Window.partitionBy("__id", "__key").orderBy(F.lit(1)))
-    return kept.withColumn("__n", place).where("__n = 1").select(*docs.columns)
+# ---- near copies by the similarity of five-word shingles --------------------------------
+
+
+def _word_prints(words: list[bytes]) -> tuple[int, int]:
+    """Two fingerprints of the single words, repeats included, by the halves of a 128-bit hash."""
+    if not words:
+        return 0, 0
+    raw = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint8).reshape(-1, 16)
+    ones = np.zeros(128, np.int64)
+    for k in range(0, len(raw), _AT_ONCE):
+        ones += np.unpackbits(raw[k : k + _AT_ONCE], axis=1).sum(0, dtype=np.int64)
+    bits = np.packbits((2 * ones > len(words)).astype(np.uint8)).tobytes()
+    return int.from_bytes(bits[:8], "big", signed=True), int.from_bytes(bits[8:], "big", signed=True)
+
+
+def _word_rows(docs: DataFrame) -> DataFrame:
+    """doc (null: after all), text_key, content (a digest of the words), f1 and f2 of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            content, f1, f2 = [], [], []
+            for t in b.column("text"):
+                words = t.as_py().lower().split()
+                content.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
+                x, y = _word_prints(words)
+                f1.append(x)
+                f2.append(y)
+            yield {"doc": b.column("doc"), "text_key": b.column("text_key"), "content": content, "f1": f1, "f2": f2}
+
+    return arrow_map(_keyed(docs), run, "doc long, text_key long, content binary, f1 long, f2 long")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(as_bytes()).alias("text_key"), as_bytes().alias("text"))
+
+
+def _shingles(words: list[bytes], width: int) -> bytes:
+    """The set of hashes of all shingles, ascending; fewer words are one shingle."""
+    each = [b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
+    return np.unique(np.fromiter(map(xxhash.xxh32_intdigest, each), np.uint32, len(each))).tobytes()
+
+
+def _agreement(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two sets, 1 for two empty ones."""
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    total = len(x) + len(y) - both
+    return both / total if total else 1.0
+
+
+def _candidates(contents: DataFrame, of: str, radius: int) -> DataFrame:
+    """contents(content, f1, f2) -> (a, b): links of contents by the fingerprint ``of``."""
+    classes = saved(contents.groupBy(F.col(of).alias("fp")).agg(F.min("content").alias("head"), F.count(F.lit(1)).alias("n")), "classes")
+    own = contents.select("content", F.col(of).alias("fp")).join(classes.where("n > 1").hint("merge"), "fp").where("content <> head")
+    own = own.select(F.col("head").alias("a"), F.col("content").alias("b"))
+    heads = classes.select("fp", "head")
+    across = links(classes.select("fp"), radius).join(heads.toDF("a", "ha").hint("merge"), "a").join(heads.toDF("b", "hb").hint("merge"), "b")
+    return own.unionByName(across.select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b")))
+
+
+def similar_groups(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc, text_key, content) of all documents, and (content, root) of the contents that
+    have a near copy; see the module's text."""
+    rows = saved(_word_rows(docs), "words")
+    contents = saved(rows.groupBy("content").agg(F.min("doc").alias("doc"), F.first("f1").alias("f1"), F.first("f2").alias("f2")), "contents")
+    asked = saved(_candidates(contents, "f1", radius).unionByName(_candidates(contents, "f2", radius)).distinct(), "asked")
+    ends = asked.select(F.col("a").alias("content")).unionByName(asked.select(F.col("b").alias("content"))).distinct()
+    # one row of each content, and its text
+    first = rows.join(contents.join(ends.hint("merge"), "content").select("content", "doc").hint("merge"), ["content", "doc"]).groupBy("content", "doc").agg(F.min("text_key").alias("text_key"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            yield {"content": b.column("content"), "shingles": [_shingles(t.as_py().lower().split(), width) for t in b.column("text")]}
+
+    texts = _keyed(docs).join(first.hint("merge"), ["doc", "text_key"]).select("content", "text")
+    known = saved(arrow_map(texts, sets, "content binary, shingles binary").dropDuplicates(["content"]), "sets")
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = [_agreement(x.as_py(), y.as_py()) >= similarity - 1e-9 for x, y in zip(b.column("sa"), b.column("sb"), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    both = asked.join(known.toDF("b", "sb").hint("merge"), "b").join(known.toDF("a", "sa").hint("merge"), "a").select("a", "b", "sa", "sb")
+    found = saved(both.mapInArrow(verified, "a binary, b binary"), "links")
+    return rows.select("doc", "text_key", "content"), components(found).toDF("content", "root")
+
+
+def one_of_each(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group (equal words, or linked by a
+    similarity of ``similarity`` or more) the row with the smallest doc_id stays (null ids last,
+    then by a hash of the text; of rows with equal id and text one).
+
+    Null text has no words and is a copy of any other text without words. No rows: no rows.
+    """
+    rows, roots = similar_groups(docs, width, similarity, radius)
+    grouped = rows.join(roots.hint("merge"), "content", "left").select("doc", "text_key", F.coalesce("root", "content").alias("root"))
+    grouped = saved(grouped, "grouped")
+    least = grouped.groupBy("root").agg(F.min("doc").alias("doc"))
+    stay = grouped.join(least.hint("merge"), ["root", "doc"]).groupBy("root", "doc").agg(F.min("text_key").alias("text_key"), F.count(F.lit(1)).alias("n"))
+    stay = saved(stay.select(F.col("doc").alias("__id"), F.col("text_key").alias("__key"), (F.col("n") > 1).alias("__many")), "stay")
+    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("__key", F.xxhash64(as_bytes()))
+    kept = keyed.join(stay.hint("merge"), ["__id", "__key"])
+    lone = kept.where("NOT __many").select(*docs.columns)
+    # repeated ids: partial sums leave one row of each task before any shuffle
+    more = kept.where("__many").groupBy("__id", "__key").agg(F.first(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    return lone.unionByName(more)
 
 
 def near_duplicate_digest(docs: DataFrame) -> DataFrame:
