@@ -21,8 +21,9 @@ Equal fingerprints are one node from the start. Links become components on the c
 
 ``one_of_each`` wants five-word shingles that agree to 0.8 or more. Such a pair's fingerprints
 of five-word shingles differ in about 10 of 64 bits, which no ball of a usable size covers. But
-it differs in few single words: the fingerprints of the *words* are mostly within 4 bits. So
-candidates are the links of two independent fingerprints of single words, by the same ball
+it differs in few single words: fingerprints of the *set of words* are mostly within 4 bits
+(of the set, because repeated common words would give long texts of a language one and the
+same fingerprint). So candidates are the links of three such fingerprints, by the same ball
 hashing, and each is verified by the exact similarity of the sets of five-word shingles.
 """
 
@@ -204,33 +205,40 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -
 # ---- near copies by the similarity of five-word shingles --------------------------------
 
 
-def _word_prints(words: list[bytes]) -> tuple[int, int]:
-    """Two fingerprints of the single words, repeats included, by the halves of a 128-bit hash."""
-    if not words:
-        return 0, 0
-    raw = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint8).reshape(-1, 16)
-    ones = np.zeros(128, np.int64)
-    for k in range(0, len(raw), _AT_ONCE):
-        ones += np.unpackbits(raw[k : k + _AT_ONCE], axis=1).sum(0, dtype=np.int64)
-    bits = np.packbits((2 * ones > len(words)).astype(np.uint8)).tobytes()
-    return int.from_bytes(bits[:8], "big", signed=True), int.from_bytes(bits[8:], "big", signed=True)
+#: Independent fingerprints of the words.
+PRINTS = ("f1", "f2", "f3")
+
+
+def _word_prints(words: list[bytes]) -> list[int]:
+    """Fingerprints of the set of words, 64 bits each, by hashes with different seeds."""
+    each = set(words)
+    if not each:
+        return [0] * len(PRINTS)
+    out: list[int] = []
+    for seed in range(-(-len(PRINTS) // 2)):
+        raw = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w, seed) for w in each]), np.uint8).reshape(-1, 16)
+        ones = np.zeros(128, np.int64)
+        for k in range(0, len(raw), _AT_ONCE):
+            ones += np.unpackbits(raw[k : k + _AT_ONCE], axis=1).sum(0, dtype=np.int64)
+        bits = np.packbits((2 * ones > len(each)).astype(np.uint8)).tobytes()
+        out += [int.from_bytes(bits[k : k + 8], "big", signed=True) for k in (0, 8)]
+    return out[: len(PRINTS)]
 
 
 def _word_rows(docs: DataFrame) -> DataFrame:
-    """doc (null: after all), text_key, content (a digest of the words), f1 and f2 of every row."""
+    """doc (null: after all), text_key, content (a digest of the words) and ``PRINTS`` of every
+    row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            content, f1, f2 = [], [], []
+            content, made = [], []
             for t in b.column("text"):
                 words = t.as_py().lower().split()
                 content.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
-                x, y = _word_prints(words)
-                f1.append(x)
-                f2.append(y)
-            yield {"doc": b.column("doc"), "text_key": b.column("text_key"), "content": content, "f1": f1, "f2": f2}
+                made.append(_word_prints(words))
+            yield {"doc": b.column("doc"), "text_key": b.column("text_key"), "content": content} | dict(zip(PRINTS, zip(*made, strict=True), strict=True))
 
-    return arrow_map(_keyed(docs), run, "doc long, text_key long, content binary, f1 long, f2 long")
+    return arrow_map(_keyed(docs), run, "doc long, text_key long, content binary, " + ", ".join(f"{f} long" for f in PRINTS))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -252,8 +260,8 @@ def _agreement(a: bytes, b: bytes) -> float:
 
 
 def _candidates(contents: DataFrame, of: str, radius: int) -> DataFrame:
-    """contents(content, f1, f2) -> (a, b): links of contents by the fingerprint ``of``."""
-    classes = saved(contents.groupBy(F.col(of).alias("fp")).agg(F.min("content").alias("head"), F.count(F.lit(1)).alias("n")), "classes")
+    """contents(content, ...) -> (a, b): links of contents by the fingerprint ``of``."""
+    classes = contents.groupBy(F.col(of).alias("fp")).agg(F.min("content").alias("head"), F.count(F.lit(1)).alias("n"))
     own = contents.select("content", F.col(of).alias("fp")).join(classes.where("n > 1").hint("merge"), "fp").where("content <> head")
     own = own.select(F.col("head").alias("a"), F.col("content").alias("b"))
     heads = classes.select("fp", "head")
@@ -265,8 +273,11 @@ def similar_groups(docs: DataFrame, width: int = SHINGLE, similarity: float = SI
     """Rows (doc, text_key, content) of all documents, and (content, root) of the contents that
     have a near copy; see the module's text."""
     rows = saved(_word_rows(docs), "words")
-    contents = saved(rows.groupBy("content").agg(F.min("doc").alias("doc"), F.first("f1").alias("f1"), F.first("f2").alias("f2")), "contents")
-    asked = saved(_candidates(contents, "f1", radius).unionByName(_candidates(contents, "f2", radius)).distinct(), "asked")
+    contents = saved(rows.groupBy("content").agg(F.min("doc").alias("doc"), *[F.first(f).alias(f) for f in PRINTS]), "contents")
+    asked = contents.select(F.col("content").alias("a"), F.col("content").alias("b")).where("false")
+    for f in PRINTS:
+        asked = asked.unionByName(_candidates(contents, f, radius))
+    asked = saved(asked.distinct(), "asked")
     ends = asked.select(F.col("a").alias("content")).unionByName(asked.select(F.col("b").alias("content"))).distinct()
     # one row of each content, and its text
     first = rows.join(contents.join(ends.hint("merge"), "content").select("content", "doc").hint("merge"), ["content", "doc"]).groupBy("content", "doc").agg(F.min("text_key").alias("text_key"))
