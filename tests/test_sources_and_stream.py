@@ -77,3 +77,34 @@ def test_runtime_helpers(spark):
     assert runtime.seed_everything(1).integers(100) == runtime.seed_everything(1).integers(100)
     assert len(runtime.logger("t").handlers) == len(runtime.logger("t").handlers) == 1
     assert runtime.compose(lambda d: d.where("id > 3"), lambda d: d.limit(2))(spark.range(9)).count() == 2
+
+
+def test_detections_keep_the_order_of_the_file(spark, tmp_path):
+    from trajecta.sources import mot
+
+    at = tmp_path / "SEQ" / "det"
+    at.mkdir(parents=True)
+    (at / "det.txt").write_text("1,-1,9,0,5,5,0.1\n1,-1,1,0,5,5,0.9\n2,-1,3,0,5,5,0.5\n1,-1,5,0,5,5,0.9\n")
+    got = mot.read_detections(spark, str(at / "det.txt")).where("frame = 1").orderBy("det_idx").collect()
+    assert [(r.det_idx, r.x) for r in got] == [(1, 9.0), (2, 1.0), (3, 5.0)]
+
+
+def test_folders_without_sequence_information(spark, tmp_path):
+    import struct
+
+    from trajecta.sources import mot
+
+    at = tmp_path / "S-01" / "img1"
+    at.mkdir(parents=True)
+    png = b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", 640, 480)
+    for n in ("000001.png", "000002.png", ".hidden.png", "note.txt"):
+        (at / n).write_bytes(png)
+    (at / "sub").mkdir()
+    (at / "sub" / "000009.png").write_bytes(png)
+    files = lambda **k: sorted(r.file for r in mot.scan_files(spark, str(at), **k).collect())
+    assert files(suffix="png") == ["000001.png", "000002.png"]
+    assert files(suffix=("png", "txt"), without=("0002",), recursive=True) == ["000001.png", "note.txt", "sub/000009.png"]
+    got = mot.folder_information(spark, str(tmp_path / "S-01" / "img1"), ("png",))
+    assert (got["name"], got["width"], got["height"]) == ("S-01", 640, 480)
+    jpeg = b"\xff\xd8\xff\xe0" + struct.pack(">H", 4) + b"ab" + b"\xff\xc0" + struct.pack(">HBHH", 11, 8, 30, 50) + b"\0" * 9
+    assert mot.image_size(jpeg) == (50, 30) and mot.image_size(b"??") == (None, None)

@@ -1,4 +1,4 @@
-"""Box side of training transforms. Randomness comes from a hash of the row and a seed, so a
+"""Box side of training transforms. Randomness comes from the row's keys and a seed, so a
 row gets the same draw in any plan."""
 
 from __future__ import annotations
@@ -7,9 +7,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Odd factors of the columns and the prime of a draw (fixed values, the same in SQL).
+FACTORS, PRIME = (73_856_093, 19_349_663, 83_492_791), 1_000_003
+
+
 def draw(seed: int, *keys: str) -> Column:
-    """A number in [0, 1) from a hash of ``keys``."""
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    """A number in [0, 1) from integers: a sum of multiples, squared modulo a prime."""
+    total = F.lit(seed * 2_654_435_761 % PRIME).cast("bigint")
+    for k, factor in zip(keys, FACTORS, strict=False):
+        total = total + F.col(k).cast("bigint") * F.lit(factor)
+    mixed = F.pmod(total, F.lit(PRIME))
+    return F.pmod(mixed * mixed + mixed * F.lit(7919), F.lit(PRIME)).cast("double") / F.lit(float(PRIME))
 
 
 def move_boxes(df: DataFrame, low: float, high: float, width: float, height: float, seed: int = 26) -> DataFrame:

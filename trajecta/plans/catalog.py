@@ -117,6 +117,12 @@ def global_index(spark, sf):
     return mot.global_index(_catalogue(spark, sf))
 
 
+@query("""@r AS (SELECT name, sum(length) OVER (ORDER BY name) - length AS first_item, length FROM c), u AS (SELECT name, first_item, unnest(range(1, length + 1)) AS frame FROM r)
+SELECT CAST(first_item + frame - 1 AS BIGINT) AS item, name, frame::BIGINT AS frame FROM u""", head=_CATALOGUE)
+def global_items(spark, sf):
+    return mot.global_items(_catalogue(spark, sf))
+
+
 @query("SELECT seq_id, min(frame) AS first_frame, max(frame) AS last_frame FROM det GROUP BY seq_id")
 def frame_bounds(spark, sf):
     return det(spark, sf).groupBy("seq_id").agg(F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"))
@@ -282,13 +288,16 @@ def frame_gap_pairs(spark, sf):
     return _pairs(spark, sf, 3).where(~G.too_far(G.box("a_"), G.box("b_"))).select("seq_id", "a_frame", "a_det_idx", "b_frame", "b_det_idx", "gap")
 
 
-_HISTORY = "@p AS (SELECT a.seq_id, a.frame AS a_frame, a.det_idx AS a_det_idx, b.frame AS b_frame, b.det_idx AS b_det_idx, b.frame - a.frame AS gap, a.x AS ax, a.y AS ay, a.w AS aw, a.h AS ah, b.x AS bx, b.y AS by_, b.w AS bw, b.h AS bh FROM (SELECT * FROM det WHERE score >= 0.8) a JOIN (SELECT * FROM det WHERE score >= 0.8) b ON a.seq_id = b.seq_id AND b.frame > a.frame AND b.frame <= a.frame + 26) "
+_HISTORY = "@p AS (SELECT a.seq_id, a.frame AS a_frame, a.det_idx AS a_det_idx, b.frame AS b_frame, b.det_idx AS b_det_idx, b.frame - a.frame AS gap, a.x AS ax, a.y AS ay, a.w AS aw, a.h AS ah, b.x AS bx, b.y AS by_, b.w AS bw, b.h AS bh FROM det a JOIN det b ON a.seq_id = b.seq_id AND b.frame > a.frame AND b.frame <= a.frame + 26) "
 
 
-@query(f"{_HISTORY} SELECT seq_id, a_frame, a_det_idx, b_frame, b_det_idx, gap, round({_SIGNED}, 9) + 0.0 AS overlap, round(pow(0.9::DOUBLE, gap), 6) AS weight FROM p")
+@query(f"{_HISTORY} SELECT seq_id, a_frame, a_det_idx, gap, count(*) AS pairs, floor(max({_SIGNED}) * 1e6::DOUBLE)::BIGINT AS nearest, floor(min({_SIGNED}) * 1e6::DOUBLE)::BIGINT AS farthest, round(pow(0.9::DOUBLE, gap), 6) AS weight FROM p GROUP BY ALL")
 def history_pairs(spark, sf):
-    h = pairs.history(det(spark, sf).where("score >= 0.8"), 26, 0.9)
-    return h.select("seq_id", "a_frame", "a_det_idx", "b_frame", "b_det_idx", "gap", r6(F.col("overlap"), "overlap", 9), r6(F.col("weight"), "weight"))
+    """The pairs of each detection with those of 26 frames, summed up by gap (all of them are
+    hundreds of rows for a detection); overlaps in millionths, cut to whole ones."""
+    h = pairs.history(det(spark, sf), 26, 0.9).groupBy("seq_id", "a_frame", "a_det_idx", "gap")
+    h = h.agg(F.count(F.lit(1)).alias("pairs"), F.max("overlap").alias("nearest"), F.min("overlap").alias("farthest"), F.max("weight").alias("weight"))
+    return h.select("seq_id", "a_frame", "a_det_idx", "gap", "pairs", *[F.floor(F.col(c) * F.lit(1e6)).cast("bigint").alias(c) for c in ("nearest", "farthest")], r6(F.col("weight"), "weight"))
 
 
 def _as_tracks(spark, sf):
@@ -309,23 +318,26 @@ def pair_labels(spark, sf):
     return pairs.frame_pairs(g, g).select("seq_id", "a_frame", "a_obj_id", "b_obj_id", (F.col("a_obj_id") == F.col("b_obj_id")).cast("int").alias("label"))
 
 
-def _cut(spark, sf, low, high):
-    """Detections of each object in a range of frames as one trajectory."""
-    d = fixture.load(spark, sf)[0].where(F.col("frame").between(low, high) & (F.col("obj_id") % 3 != (0 if low > 1 else 1)))
+def _cut(spark, sf, late):
+    """Detections of each object up to, or from, the middle frame of its sequence."""
+    d = fixture.load(spark, sf)[0]
+    last = d.groupBy("seq_id").agg(F.max("frame").alias("last"))  # a row for each sequence
+    middle = F.floor(F.col("last") / 2).cast("int")
+    d = d.join(last, "seq_id").where(F.col("frame") >= middle if late else F.col("frame") <= middle)
     w = Window.partitionBy("seq_id", "obj_id")
     return d.select("seq_id", F.col("obj_id").alias("track_id"), F.row_number().over(w.orderBy("frame")).alias("pos"), "frame", "det_idx", F.count(F.lit(1)).over(w).cast("int").alias("n"))
 
 
-def _cut_sql(low: int, high: int) -> str:
-    return f"SELECT seq_id, obj_id AS track_id, row_number() OVER (PARTITION BY seq_id, obj_id ORDER BY frame)::INT AS pos, frame, det_idx, count(*) OVER (PARTITION BY seq_id, obj_id)::INT AS n FROM det WHERE frame BETWEEN {low} AND {high} AND obj_id % 3 <> {0 if low > 1 else 1}"
+def _cut_sql(sign: str) -> str:
+    return f"SELECT seq_id, obj_id AS track_id, row_number() OVER (PARTITION BY seq_id, obj_id ORDER BY frame)::INT AS pos, frame, det_idx, count(*) OVER (PARTITION BY seq_id, obj_id)::INT AS n FROM det JOIN m USING (seq_id) WHERE frame {sign} middle"
 
 
-@query(f"""@d AS ({_cut_sql(1, 20)}), s AS ({_cut_sql(20, 40)}),
+@query(f"""@m AS (SELECT seq_id, max(frame) // 2 AS middle FROM det GROUP BY seq_id), d AS ({_cut_sql('<=')}), s AS ({_cut_sql('>=')}),
 l AS (SELECT d.seq_id, d.track_id AS dst_id, s.track_id AS src_id, d.n AS dst_n FROM d JOIN s ON d.seq_id = s.seq_id AND d.frame = s.frame AND d.det_idx = s.det_idx WHERE d.pos = d.n AND s.pos = 1)
 SELECT seq_id, 'dst' AS origin, track_id, pos, frame, det_idx FROM d UNION ALL SELECT s.seq_id, 'dst', l.dst_id, l.dst_n + s.pos - 1, s.frame, s.det_idx FROM s JOIN l ON s.seq_id = l.seq_id AND s.track_id = l.src_id WHERE s.pos > 1
 UNION ALL SELECT s.seq_id, 'src', s.track_id, s.pos, s.frame, s.det_idx FROM s ANTI JOIN l ON s.seq_id = l.seq_id AND s.track_id = l.src_id""")
 def merge_trajectories(spark, sf):
-    return pairs.merge_trajectories(_cut(spark, sf, 20, 40), _cut(spark, sf, 1, 20))
+    return pairs.merge_trajectories(_cut(spark, sf, True), _cut(spark, sf, False))
 
 
 def _edges(spark, sf, least=0.3):
@@ -459,12 +471,17 @@ d AS (SELECT near.seq_id, near.frame, near.det_idx, near.b_det_idx, s1.k, (n.z -
 cand AS (SELECT seq_id, frame, det_idx, b_det_idx, round(sqrt(sum(q ORDER BY k)), 6) AS d FROM d GROUP BY ALL)"""
 
 
-def _candidates(spark, sf):
-    """Distances of the next frame's detections in a track's region from its predicted state."""
+def _near(spark, sf):
+    """The next frame's detections in a track's region, with its predicted state."""
     d = det(spark, sf)
     ready = d.select("*", *G.to_state(G.box()))
     ahead = ready.withColumns(dict(zip(("s0", "s1", "s2", "s3"), kalman.predicted(kalman.initial(_z())), strict=True)))
-    near = pairs.blocked(ahead, ready, 2.0)
+    return pairs.blocked(ahead, ready, 2.0)
+
+
+def _candidates(spark, sf):
+    """Distances of the next frame's detections in a track's region from its predicted state."""
+    near = _near(spark, sf)
     dist = kalman.distance([F.col(f"a_s{k}") for k in range(4)], _z("b_"))
     return near.select("seq_id", F.col("a_frame").alias("frame"), F.col("a_det_idx").alias("det_idx"), "b_det_idx", r6(dist, "d"))
 
@@ -474,6 +491,17 @@ def kf_candidates(spark, sf):
     return _candidates(spark, sf)
 
 
+@query(f"""{_CANDIDATES}, alt AS (SELECT near.seq_id, near.frame, near.det_idx, near.b_det_idx, s1.k, s1.a AS pa, s1.b AS pb, s1.p, s1.v, n.z - s1.p AS y, s1.a + ({_R.format(h='h.h').replace('k = 2', 's1.k = 2')}) * ({_R.format(h='h.h').replace('k = 2', 's1.k = 2')}) AS s
+  FROM near JOIN s1 USING (seq_id, frame, det_idx) JOIN h USING (seq_id, frame, det_idx) JOIN z4 n ON n.seq_id = near.seq_id AND n.frame = near.frame + 1 AND n.det_idx = near.b_det_idx AND n.k = s1.k)
+SELECT seq_id, frame, det_idx, b_det_idx, """ + ", ".join(f"round(max(CASE WHEN k = {k} THEN p + pa / s * y END), 6) + 0.0 AS {n}, round(max(CASE WHEN k = {k} THEN v + pb / s * y END), 6) + 0.0 AS v{n}, round(max(CASE WHEN k = {k} THEN pa - pa / s * pa END), 6) + 0.0 AS {n}_var" for k, n in enumerate("xyah")) + " FROM alt GROUP BY ALL")
+def kf_alternatives(spark, sf):
+    """Means and variances of a track's state under each of its candidates."""
+    near = _near(spark, sf)
+    after = kalman.updated([F.col(f"a_s{k}") for k in range(4)], _z("b_"))
+    cols = [r6(s[part], name) for s, n in zip(after, "xyah", strict=True) for part, name in (("p", n), ("v", f"v{n}"), ("a", f"{n}_var"))]
+    return near.select("seq_id", F.col("a_frame").alias("frame"), F.col("a_det_idx").alias("det_idx"), "b_det_idx", *cols)
+
+
 @query(f"{_CANDIDATES} SELECT * FROM cand WHERE d <= 9.4877")
 def chi2_gate(spark, sf):
     return _candidates(spark, sf).where(F.col("d") <= kalman.CHI2_95[4])
@@ -547,27 +575,31 @@ def observation_cost(spark, sf):
     return det(spark, sf).select("seq_id", "frame", "det_idx", r6(flow.observation_cost(F.col("score")), "cost"))
 
 
-_HIST = "h AS (SELECT vec_id, list_transform(embedding, lambda x: abs(x::DOUBLE)) AS e FROM embeddings WHERE vec_id < 200)"
+_HIST = "h AS (SELECT vec_id, list_transform(embedding, lambda x: abs(x::DOUBLE)) AS e, label FROM embeddings)"
 _BHATT = "sqrt(greatest(0, 1 - list_sum(list_transform(list_zip({a}, {b}), lambda x: sqrt(x[1] * x[2]))) / sqrt(list_sum({a}) * list_sum({b}))))"
 
 
-@query(f"SELECT a.vec_id AS a, b.vec_id AS b, round({_BHATT.format(a='a.e', b='b.e')}, 6) AS distance FROM h a JOIN h b ON a.vec_id % 10 = b.vec_id % 10 AND a.vec_id < b.vec_id", head=_HIST)
+@query(f"SELECT a.vec_id AS a, b.vec_id AS b, round({_BHATT.format(a='a.e', b='b.e')}, 6) AS distance FROM h a JOIN h b ON a.label = b.label AND a.vec_id < b.vec_id", head=_HIST)
 def bhattacharyya(spark, sf):
-    h = spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id < 200").select("vec_id", F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("e"), (F.col("vec_id") % 10).alias("part"))
+    h = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("e"), F.col("label").alias("part"))
     a, b = h.select("part", F.col("vec_id").alias("a"), F.col("e").alias("ea")), h.select("part", F.col("vec_id").alias("b"), F.col("e").alias("eb"))
     return a.join(b, "part").where("a < b").select("a", "b", r6(flow.bhattacharyya(F.col("ea"), F.col("eb")), "distance"))
 
 
-_UNLIKE = "(abs(a_score - b_score))"
-_LINKS = f"""@p AS (SELECT a.seq_id, a.frame AS a_frame, a.det_idx AS a_det_idx, b.frame AS b_frame, b.det_idx AS b_det_idx, b.frame - a.frame AS gap, a.score AS a_score, b.score AS b_score, a.x AS ax, a.y AS ay, a.w AS aw, a.h AS ah, b.x AS bx, b.y AS by_, b.w AS bw, b.h AS bh FROM det a JOIN det b ON a.seq_id = b.seq_id AND b.frame > a.frame AND b.frame <= a.frame + 2),
+_UNLIKE = f"round({_BHATT.format(a='ae', b='be')}, 6)"
+_LINKS = f"""@hd AS (SELECT det.*, list_transform(embedding, lambda x: abs(x::DOUBLE)) AS e FROM det JOIN embeddings ON vec_id = event_id % (SELECT count(*) FROM embeddings)),
+p AS (SELECT a.e AS ae, b.e AS be, a.seq_id, a.frame AS a_frame, a.det_idx AS a_det_idx, b.frame AS b_frame, b.det_idx AS b_det_idx, b.frame - a.frame AS gap, a.score AS a_score, b.score AS b_score, a.x AS ax, a.y AS ay, a.w AS aw, a.h AS ah, b.x AS bx, b.y AS by_, b.w AS bw, b.h AS bh FROM hd a JOIN hd b ON a.seq_id = b.seq_id AND b.frame > a.frame AND b.frame <= a.frame + 2),
 links AS (SELECT seq_id, a_frame AS frame, a_det_idx AS det_idx, b_frame AS next_frame, b_det_idx AS next_idx, gap, round(-ln(0.5::DOUBLE * coalesce({_IOU}, 0) * pow(0.7::DOUBLE, gap - 1) + 0.5::DOUBLE * (1 - {_UNLIKE}) + 1e-5::DOUBLE), 6) + 0.0 AS cost FROM p WHERE NOT ({_FAR})),
 gated AS (SELECT * FROM links WHERE cost <= -ln(0.4::DOUBLE))"""
 _FLOW = flow.FlowSettings(threshold=0.916290731874155, misses=1, most_flow=None)
 
 
 def _links(spark, sf):
-    cost = lambda p: r6(flow.transition_cost(F.abs(F.col("a_score") - F.col("b_score")), 0.7), "cost")
-    return flow.transitions(det(spark, sf), cost, _FLOW)
+    """Links with the appearance term: the distance of the vectors' absolute values as histograms."""
+    d = _featured(spark, sf).withColumn("feature", F.transform("feature", lambda x: F.abs(x.cast("double"))))
+    unlike = F.round(flow.bhattacharyya(F.col("a_feature"), F.col("b_feature")), 6)
+    cost = lambda p: r6(flow.transition_cost(unlike, 0.7), "cost")
+    return flow.transitions(d, cost, _FLOW)
 
 
 @query(f"{_LINKS} SELECT * FROM gated")
@@ -585,9 +617,7 @@ def flow_edges(spark, sf):
 
 @query()
 def mcf_tracks(spark, sf):
-    d = det(spark, sf)
-    cost = lambda p: flow.transition_cost(F.abs(F.col("a_score") - F.col("b_score")), 0.7)
-    return flow.flow_tracks(d, flow.transitions(d, cost, _FLOW), _FLOW)
+    return flow.flow_tracks(det(spark, sf), _links(spark, sf), _FLOW)
 
 
 @query("SELECT seq_id, obj_id AS track_id, frame, det_idx, lead(frame, 1, -1) OVER w AS next_frame, lead(det_idx, 1, -1) OVER w AS next_idx, row_number() OVER w::INT AS pos FROM det WINDOW w AS (PARTITION BY seq_id, obj_id ORDER BY frame)")
@@ -600,58 +630,52 @@ def track_links(spark, sf):
 # ---- appearance -----------------------------------------------------------------------
 
 
-def _featured(spark, sf, where: str = "score >= 0.7"):
+def _featured(spark, sf):
     """Detections with vector number event_id modulo the number of vectors."""
-    d = fixture.load(spark, sf)[0].where(where)
+    d = fixture.load(spark, sf)[0]
     v = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.col("embedding").alias("feature"))
     return d.withColumn("vec_id", F.pmod("event_id", F.lit(v.count()))).join(v, "vec_id").drop("vec_id", "event_id")
 
 
-_FEAT = "@fd AS (SELECT det.*, list_transform(embedding, lambda x: x::DOUBLE) AS f FROM det JOIN embeddings ON vec_id = event_id % 500 WHERE score >= 0.7)"
+_FEAT = "@fd AS (SELECT det.*, list_transform(embedding, lambda x: x::DOUBLE) AS f FROM det JOIN embeddings ON vec_id = event_id % (SELECT count(*) FROM embeddings))"
 _COS = "list_sum(list_transform(list_zip({a}, {b}), lambda x: x[1] * x[2])) / sqrt(list_sum(list_transform({a}, lambda x: x * x)) * list_sum(list_transform({b}, lambda x: x * x)))"
 _NEAR = f"{_FEAT}, fp AS (SELECT a.seq_id, a.frame AS a_frame, a.det_idx AS a_det_idx, a.obj_id AS a_obj, b.frame AS b_frame, b.det_idx AS b_det_idx, b.obj_id AS b_obj, b.frame - a.frame AS gap, {_COS.format(a='a.f', b='b.f')} AS s, a.x AS ax, a.y AS ay, a.w AS aw, a.h AS ah, b.x AS bx, b.y AS by_, b.w AS bw, b.h AS bh FROM fd a JOIN fd b ON a.seq_id = b.seq_id AND b.frame > a.frame AND b.frame <= a.frame + @GAPS@)"
 
 
 @query(f"{_NEAR.replace('@GAPS@', '1')} SELECT seq_id, a_frame, a_det_idx, b_det_idx, round(s, 6) + 0.0 AS affinity FROM fp")
 def pair_affinity(spark, sf):
-    d = _featured(spark, sf)
-    return pairs.frame_pairs(d, d).select(*_KEYS, r6(affinity.cosine(F.col("a_feature"), F.col("b_feature")), "affinity"))
-
-
-def _dense(spark, sf):
-    """Affinities of all rows and columns of a frame, numbered from 1."""
-    d = _featured(spark, sf)
-    p = pairs.frame_pairs(d, d)
-    row, col = Window.partitionBy("seq_id", "a_frame").orderBy("a_det_idx"), Window.partitionBy("seq_id", "a_frame").orderBy("b_det_idx")
-    return p.select("seq_id", F.col("a_frame").alias("frame"), F.dense_rank().over(row).alias("i"), F.dense_rank().over(col).alias("j"), F.round(affinity.cosine(F.col("a_feature"), F.col("b_feature")), 6).alias("v"), (F.col("a_obj_id") == F.col("b_obj_id")).cast("int").alias("label"))
+    return affinity.next_frame_affinity(_featured(spark, sf)).select(*_KEYS, r6(F.col("affinity"), "affinity"))
 
 
 _DENSE = f"""{_NEAR.replace('@GAPS@', '1')}, dn AS (SELECT seq_id, a_frame AS frame, dense_rank() OVER (PARTITION BY seq_id, a_frame ORDER BY a_det_idx)::INT AS i, dense_rank() OVER (PARTITION BY seq_id, a_frame ORDER BY b_det_idx)::INT AS j, round(s, 6) AS v, (a_obj = b_obj)::INT AS label FROM fp),
-sm AS (SELECT *, exp(v) / (sum(exp(v)) OVER (PARTITION BY seq_id, frame, i) + 80 - max(j) OVER (PARTITION BY seq_id, frame) + exp(10::DOUBLE)) AS by_row, exp(v) / (sum(exp(v)) OVER (PARTITION BY seq_id, frame, j) + 80 - max(i) OVER (PARTITION BY seq_id, frame) + exp(10::DOUBLE)) AS by_col,
-exp(10::DOUBLE) / (sum(exp(v)) OVER (PARTITION BY seq_id, frame, i) + 80 - max(j) OVER (PARTITION BY seq_id, frame) + exp(10::DOUBLE)) AS unmatched FROM dn)"""
+sm AS (SELECT *, sum(exp(v)) OVER (PARTITION BY seq_id, frame, i) + 80 - max(j) OVER (PARTITION BY seq_id, frame) + exp(10::DOUBLE) AS rt, sum(exp(v)) OVER (PARTITION BY seq_id, frame, j) + 80 - max(i) OVER (PARTITION BY seq_id, frame) + exp(10::DOUBLE) AS ct FROM dn),
+cells AS (SELECT seq_id, frame, i, j, exp(v) / rt AS by_row, exp(v) / ct AS by_col, exp(10::DOUBLE) / rt AS lost_row, exp(10::DOUBLE) / ct AS lost_col, label FROM sm)"""
 
 
-@query(f"{_DENSE} SELECT seq_id, frame, i, j, round((by_row + by_col) / 2, 9) AS affinity, round(unmatched, 9) AS unmatched FROM sm")
+@query(f"{_DENSE} SELECT seq_id, frame, i, j, round((by_row + by_col) / 2, 9) AS affinity, round(lost_row, 9) AS unmatched FROM cells")
 def affinity_softmax(spark, sf):
-    s = affinity.softmaxed(_dense(spark, sf).drop("label"), 80, 10.0)
-    return s.select("seq_id", "frame", "i", "j", r6(F.col("affinity"), "affinity", 9), r6(F.col("unmatched"), "unmatched", 9))
+    c = affinity.frame_affinities(_featured(spark, sf), 80, 10.0)
+    lost = c.where("j = 0").select("seq_id", "frame", "i", r6(F.col("by_row"), "unmatched", 9))
+    return c.where("i > 0 AND j > 0").join(lost, ["seq_id", "frame", "i"]).select("seq_id", "frame", "i", "j", r6((F.col("by_row") + F.col("by_col")) / 2, "affinity", 9), "unmatched")
 
 
-@query(f"""{_DENSE}, l AS (SELECT seq_id, -sum(CASE WHEN label = 1 THEN ln(by_row) ELSE 0 END) / nullif(sum(label), 0) AS forward, -sum(CASE WHEN label = 1 THEN ln(by_col) ELSE 0 END) / nullif(sum(label), 0) AS backward,
--sum(CASE WHEN label = 1 THEN ln(greatest(by_row, by_col)) ELSE 0 END) / nullif(sum(label), 0) AS best, sum(CASE WHEN label = 1 THEN abs(by_row - by_col) ELSE 0 END) / nullif(sum(label), 0) AS consistency FROM sm GROUP BY seq_id)
-SELECT seq_id, round(forward, 6) AS forward, round(backward, 6) AS backward, round(best, 6) AS best, round(consistency, 6) AS consistency, round((forward + backward + best + consistency) / 4, 6) AS loss FROM l""")
+@query(f"""{_DENSE}, r AS (SELECT seq_id, frame, i, any_value(lost_row) AS lost, max(label) AS has, max(CASE WHEN label = 1 THEN j ELSE 0 END) AS want, max(CASE WHEN label = 1 THEN ln(by_row) END) AS lr, max(CASE WHEN label = 1 THEN ln(greatest(by_row, by_col)) END) AS lb, max(CASE WHEN label = 1 THEN abs(by_row - by_col) END) AS gap,
+  max(greatest(by_row, by_col)) AS top, arg_max(j, greatest(by_row, by_col)) AS peak FROM cells GROUP BY ALL),
+c AS (SELECT seq_id, frame, j, any_value(lost_col) AS lost, max(label) AS has, max(CASE WHEN label = 1 THEN i ELSE 0 END) AS want, max(CASE WHEN label = 1 THEN ln(by_col) END) AS lc, max(by_col) AS top, arg_max(i, by_col) AS peak FROM cells GROUP BY ALL),
+rs AS (SELECT seq_id, -sum(coalesce(lr, ln(lost))) / count(*) AS forward, -sum(coalesce(lb, ln(lost))) / count(*) AS best, sum(coalesce(gap, 0)) AS gaps, count(*) AS n, avg((CASE WHEN lost >= top THEN 0 ELSE peak END = want)::INT) AS accuracy_row FROM r GROUP BY seq_id),
+cs AS (SELECT seq_id, -sum(coalesce(lc, ln(lost))) / count(*) AS backward, sum(1 - has) AS lone, avg((CASE WHEN lost >= top THEN 0 ELSE peak END = want)::INT) AS accuracy_col FROM c GROUP BY seq_id)
+SELECT seq_id, round(forward, 6) AS forward, round(backward, 6) AS backward, round(best, 6) AS best, round(gaps / (n + lone), 6) + 0.0 AS consistency, round(accuracy_row, 6) AS accuracy_row, round(accuracy_col, 6) AS accuracy_col, round((forward + backward + best + gaps / (n + lone)) / 4, 6) AS loss FROM rs JOIN cs USING (seq_id)""")
 def dan_loss(spark, sf):
-    d = _dense(spark, sf)
-    s = affinity.softmaxed(d, 80, 10.0).join(d.select("seq_id", "frame", "i", "j", "label"), ["seq_id", "frame", "i", "j"])
-    out = affinity.association_loss(s)
-    return out.select("seq_id", *[r6(F.col(c), c) for c in ("forward", "backward", "best", "consistency", "loss")])
+    out = affinity.association_loss(affinity.frame_affinities(_featured(spark, sf), 80, 10.0))
+    return out.select("seq_id", *[r6(F.col(c), c) for c in ("forward", "backward", "best", "consistency", "accuracy_row", "accuracy_col", "loss")])
 
 
 @query(f"{_NEAR.replace('@GAPS@', '26')} SELECT seq_id, a_frame, a_det_idx, b_frame, b_det_idx, round(s * pow(0.9::DOUBLE, gap), 6) + 0.0 AS similarity FROM fp WHERE a_obj = b_obj")
 def history_similarity(spark, sf):
-    d = _featured(spark, sf)
-    p = pairs.frame_pairs(d, d, 26).where("a_obj_id = b_obj_id")
-    return p.select("seq_id", "a_frame", "a_det_idx", "b_frame", "b_det_idx", r6(affinity.cosine(F.col("a_feature"), F.col("b_feature")) * F.pow(F.lit(0.9), F.col("gap")), "similarity"))
+    d = _featured(spark, sf).select("seq_id", "frame", "det_idx", "obj_id", affinity.unit(F.col("feature")).alias("feature"))
+    gaps = pairs.side(d, "a_", ("seq_id", "obj_id")).withColumn("gap", F.explode(F.sequence(F.lit(1), F.lit(26)))).withColumn("b_frame", F.col("a_frame") + F.col("gap"))
+    p = gaps.join(pairs.side(d, "b_", ("seq_id", "obj_id")), ["seq_id", "obj_id", "b_frame"])
+    return p.select("seq_id", "a_frame", "a_det_idx", "b_frame", "b_det_idx", r6(affinity.dot(F.col("a_feature"), F.col("b_feature")) * F.pow(F.lit(0.9), F.col("gap")), "similarity"))
 
 
 def _named(spark, sf):
@@ -681,9 +705,9 @@ def merge_similarity(spark, sf):
     return affinity.merge_similarity(d, t).select("seq_id", "track_a", "track_b", r6(F.col("similarity"), "similarity"), "n")
 
 
-@query("SELECT seq_id, obj_id AS track_id, frame, (frame - lag(frame, 1, frame) OVER w)::INT AS age FROM det WHERE score >= 0.5 WINDOW w AS (PARTITION BY seq_id, obj_id ORDER BY frame)")
+@query("SELECT seq_id, obj_id AS track_id, frame, (frame - lag(frame, 1, frame) OVER w)::INT AS age FROM det WINDOW w AS (PARTITION BY seq_id, obj_id ORDER BY frame)")
 def track_age(spark, sf):
-    d = fixture.load(spark, sf)[0].where("score >= 0.5")
+    d = fixture.load(spark, sf)[0]
     before = F.lag("frame").over(Window.partitionBy("seq_id", "obj_id").orderBy("frame"))
     return d.select("seq_id", F.col("obj_id").alias("track_id"), "frame", (F.col("frame") - F.coalesce(before, F.col("frame"))).alias("age"))
 
@@ -701,17 +725,28 @@ def training_pairs(spark, sf):
     return t.groupBy("seq_id", "frame").agg(F.max("next_frame").alias("next_frame"), F.count(F.lit(1)).alias("boxes")).where("next_frame > 0")
 
 
+_DRAW = "((seq_id * 31 * {k} + frame * 17 * ({k} + 2) + 26 * {k}) % 10007)"
+
+
+@query(f"""@t AS (SELECT seq_id, obj_id, frame, coalesce(lead(frame) OVER (PARTITION BY seq_id, obj_id ORDER BY frame), -1) AS nf FROM gt WHERE active = 1 AND visibility > 0.3), f AS (SELECT DISTINCT seq_id, frame AS at FROM t),
+o AS (SELECT seq_id, frame, list_sort(list(nf)) AS after FROM t WHERE nf > 0 GROUP BY ALL), q AS (SELECT seq_id, frame, list_max(after) AS farthest, {_DRAW.format(k=1)} % 2 = 0 AS far, len(after) AS n, after[{_DRAW.format(k=3)} % len(after) + 1] AS pick FROM o),
+c AS (SELECT q.seq_id, q.frame, list_sort(list(f.at)) AS open FROM q JOIN f ON f.seq_id = q.seq_id AND f.at >= q.pick AND f.at <= q.pick + 10 GROUP BY ALL)
+SELECT seq_id, frame, CASE WHEN far OR n = 1 THEN farthest ELSE coalesce(open[{_DRAW.format(k=5)} % len(open) + 1], pick) END AS next_frame FROM q LEFT JOIN c USING (seq_id, frame)""")
+def sampled_pairs(spark, sf):
+    return mot.sampled_pairs(mot.next_frames(gt(spark, sf), 0.3), 0, 10)
+
+
 # ---- trackers -------------------------------------------------------------------------
 
 
 @query()
 def kalman_tracks(spark, sf):
-    return tracker.kalman_tracks(det(spark, sf).where("score >= 0.1"))
+    return tracker.kalman_tracks(det(spark, sf))
 
 
 @query()
 def dan_tracks(spark, sf):
-    return tracker.appearance_tracks(_featured(spark, sf, "true").drop("obj_id"), new=0.0)
+    return tracker.appearance_tracks(_featured(spark, sf).drop("obj_id"))
 
 
 # ---- transforms -----------------------------------------------------------------------
@@ -721,9 +756,21 @@ def _corners(spark, sf):
     return det(spark, sf).select("seq_id", "frame", "det_idx", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("w")).alias("x2"), (F.col("y") + F.col("h")).alias("y2"))
 
 
-@query()
+def _drawn(seed: int) -> str:
+    keys = " + ".join(f"{c}::BIGINT * {f}" for c, f in zip(("seq_id", "frame", "det_idx"), transforms.FACTORS, strict=True))
+    m = f"(({seed * 2_654_435_761 % transforms.PRIME} + {keys}) % {transforms.PRIME})"
+    return f"((({m} * {m} + {m} * 7919) % {transforms.PRIME})::DOUBLE / {float(transforms.PRIME)}::DOUBLE)"
+
+
+def _shift(seed: int, size: str) -> str:
+    return f"(0.0::DOUBLE + 0.2::DOUBLE * {_drawn(seed)}) * CASE WHEN {_drawn(seed + 1)} < 0.5 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END * {size}"
+
+
+@query(f"""SELECT seq_id, frame, det_idx, round(greatest(0, least({WIDTH}, x + {_shift(26, 'w')})), 6) + 0.0 AS x1, round(greatest(0, least({HEIGHT}, y + {_shift(28, 'h')})), 6) + 0.0 AS y1,
+round(greatest(0, least({WIDTH}, x + w + {_shift(26, 'w')})), 6) + 0.0 AS x2, round(greatest(0, least({HEIGHT}, y + h + {_shift(28, 'h')})), 6) + 0.0 AS y2 FROM det""")
 def move_boxes(spark, sf):
-    return transforms.move_boxes(_corners(spark, sf), 0.0, 0.2, WIDTH, HEIGHT)
+    out = transforms.move_boxes(_corners(spark, sf), 0.0, 0.2, WIDTH, HEIGHT)
+    return out.select("seq_id", "frame", "det_idx", *[r6(F.col(c), c) for c in ("x1", "y1", "x2", "y2")])
 
 
 @query("""@c AS (SELECT seq_id, frame, det_idx, x AS x1, y AS y1, x + w AS x2, y + h AS y2 FROM det)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import struct
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,11 +22,12 @@ def _sequence(level: int) -> Column:
 
 def read_detections(spark: SparkSession, path: str) -> DataFrame:
     """``.../<sequence>/det/det.txt``: sequence, frame, x, y, w, h, score; positions in a file's
-    frame (``det_idx``) follow the order of the rows' values."""
+    frame (``det_idx``) follow the order of its lines."""
     rows = spark.read.schema(DETECTION_FILE).csv(path)
-    named = rows.select(_sequence(3).alias("sequence"), F.col("frame").cast("int").alias("frame"), "x", "y", "w", "h", "score")
-    order = Window.partitionBy("sequence", "frame").orderBy(F.desc("score"), "x", "y", "w", "h")
-    return named.withColumn("det_idx", F.row_number().over(order))
+    place = [F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row")]
+    named = rows.select(_sequence(3).alias("sequence"), F.col("frame").cast("int").alias("frame"), "x", "y", "w", "h", "score", *place)
+    order = Window.partitionBy("sequence", "frame").orderBy("_block", "_row")
+    return named.withColumn("det_idx", F.row_number().over(order)).drop("_block", "_row")
 
 
 def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
@@ -52,6 +54,51 @@ def list_images(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = ("
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(folder).select("path", "length", "modificationTime")
 
 
+def scan_files(spark: SparkSession, folder: str, suffix: str | tuple[str, ...] = "", without: tuple[str, ...] = (), recursive: bool = False) -> DataFrame:
+    """Paths relative to ``folder``, in any store that Spark reads, with a suffix and without any
+    of the strings in ``without``; names that begin with a dot are left out. No bytes are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder).select("path", "length")
+    base = folder.rstrip("/").split(":", 1)[-1].replace("//", "/").rstrip("/")
+    found = files.withColumn("name", F.element_at(F.split("path", "/"), -1)).withColumn("file", F.substring_index("path", base + "/", -1))
+    ends = F.lit(False)
+    for x in (suffix,) if isinstance(suffix, str) else suffix:
+        ends = ends | F.col("file").endswith(x)
+    for x in without:
+        ends = ends & ~F.col("file").contains(x)
+    return found.where(ends & ~F.col("name").startswith(".")).select("file", "length")
+
+
+def folder_information(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = ("jpg", "png", "bmp")) -> dict:
+    """name, length, width and height of a sequence without ``seqinfo.ini``, from its images: the
+    name of the folder (of the one above, where it is ``img1``), their number, and the size that
+    the first one's header states."""
+    files = list_images(spark, folder, suffixes)
+    first = files.agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("path")).first()
+    parts = folder.rstrip("/").split("/")
+    out = {"name": parts[-2] if parts[-1] == "img1" and len(parts) > 1 else parts[-1], "length": first["n"], "width": None, "height": None}
+    if first["path"]:
+        head = spark.read.format("binaryFile").load(first["path"]).select(F.expr("substring(content, 1, 1048576)").alias("head")).first()["head"]
+        out["width"], out["height"] = image_size(bytes(head))
+    return out
+
+
+def image_size(head: bytes) -> tuple[int | None, int | None]:
+    """Width and height from the header of a PNG, BMP or JPEG file."""
+    if head[:8] == b"\x89PNG\r\n\x1a\n":
+        return struct.unpack(">II", head[16:24])
+    if head[:2] == b"BM":
+        w, h = struct.unpack("<ii", head[18:26])
+        return w, abs(h)
+    at = 2
+    while head[:2] == b"\xff\xd8" and at + 9 < len(head):
+        kind, size = head[at + 1], struct.unpack(">H", head[at + 2 : at + 4])[0]
+        if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):  # a frame header
+            h, w = struct.unpack(">HH", head[at + 5 : at + 9])
+            return w, h
+        at += 2 + size
+    return None, None
+
+
 def write_results(tracks: DataFrame, path: str) -> None:
     """``frame, id, x, y, w, h, -1, -1, -1, -1`` as integers, a folder for each sequence."""
     result_rows(tracks).write.partitionBy("seq_id").mode("errorifexists").csv(path)
@@ -106,6 +153,30 @@ def split_sequences(names: DataFrame, detector: str, valid: list[str], training:
     return names.where(F.col("name").contains(detector)).where(~held if training else held)
 
 
+def global_items(lengths: DataFrame) -> DataFrame:
+    """item -> name and frame (from 1) for every global item, counted over all sequences."""
+    ranges = global_index(lengths).where("length > 0")
+    items = ranges.select("name", "first_item", F.explode(F.sequence(F.col("first_item"), F.col("end_item") - 1)).alias("item"))
+    return items.select("item", "name", (F.col("item") - F.col("first_item") + 1).alias("frame"))
+
+
+def sampled_pairs(boxes: DataFrame, least: int, most: int, seed: int = 26) -> DataFrame:
+    """``next_frames`` -> a training pair for each frame with a box that is seen again: with even
+    odds the farthest of its boxes' next frames, else any of them and from there a frame that
+    exists, ``least`` to ``most`` frames on. Draws are integers from the keys."""
+    frames = boxes.select("seq_id", "frame").distinct()
+    own = boxes.where("next_frame > 0").groupBy("seq_id", "frame").agg(F.sort_array(F.collect_list("next_frame")).alias("after"))
+    number = lambda k: F.pmod(F.col("seq_id") * 31 * k + F.col("frame") * 17 * (k + 2) + seed * k, F.lit(10_007))
+    pick = F.element_at("after", (F.pmod(number(3), F.size("after")) + 1).cast("int"))
+    own = own.select("seq_id", "frame", F.array_max("after").alias("farthest"), (number(1) % 2 == 0).alias("far"), F.size("after").alias("n"), pick.alias("pick"))
+    steps = F.explode(F.sequence(F.col("pick") + least, F.col("pick") + most)).alias("at")
+    there = own.select("seq_id", "frame", steps).join(frames.select("seq_id", F.col("frame").alias("at")), ["seq_id", "at"])
+    choice = there.groupBy("seq_id", "frame").agg(F.sort_array(F.collect_list("at")).alias("open"))
+    some = F.element_at("open", (F.pmod(number(5), F.size("open")) + 1).cast("int"))
+    got = own.join(choice, ["seq_id", "frame"], "left")
+    return got.select("seq_id", "frame", F.when(F.col("far") | (F.col("n") == 1), F.col("farthest")).otherwise(F.coalesce(some, F.col("pick"))).alias("next_frame"))
+
+
 def global_index(lengths: DataFrame) -> DataFrame:
     """name, length -> the half-open range of global items of each sequence."""
     total = F.sum("length").over(Window.orderBy("name"))  # one row per sequence
