@@ -40,8 +40,8 @@ from trajecta.llm.common import arrow_map, saved, table
 MODEL = "piece_bpe_32k.model"
 #: Characters of a text that is cut, and of a chunk.
 GIANT, CHUNK = 1 << 15, 1 << 14
-#: Words in a worker's cache.
-CACHED = 500_000
+#: Words in a worker's cache (about 200 bytes each).
+CACHED = 150_000
 BLANK = "▁"
 
 
@@ -288,19 +288,22 @@ def _chunks(row_text: str) -> list[tuple[int, int]]:
     return [(a, min(n, a + CHUNK)) for a in range(0, n, CHUNK)]
 
 
+def _rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id and text of the documents of one chunk, and of those beyond ``GIANT`` characters."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.where(F.length("text") <= GIANT), rows.where(F.length("text") > GIANT)
+
+
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id and ids (packed little-endian int32) of each row. Documents beyond ``GIANT``
     characters are cut and scanned. No rows: no rows. Equal rows each give a row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    small = rows.where(F.length("text") <= GIANT)
+    small, giant = _rows(docs)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             yield {"doc_id": b.column("doc_id"), "ids": plain_ids(b.column("text").to_pylist(), model)}
 
-    one = arrow_map(small, whole, "doc_id long, ids binary")
-    giant = rows.where(F.length("text") > GIANT)
-    return one.unionByName(_giant(giant, model))
+    return arrow_map(small, whole, "doc_id long, ids binary").unionByName(_giant(giant, model))
 
 
 def _giant(giant: DataFrame, model: str) -> DataFrame:
@@ -413,13 +416,22 @@ def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """Encode, decode: doc_id, n_pieces, ids_crc32 (of the ids as little-endian u32),
     decoded_bytes and decoded_crc32 (of the decoded text's UTF-8)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    schema = "doc_id long, n_pieces long, ids_crc32 long, decoded_bytes long, decoded_crc32 long"
+    small, giant = _rows(docs)
+
+    def told(doc_id: pa.Array, ids: list[bytes]) -> dict:
+        text = [decode_ids(i, model).encode() for i in ids]
+        return {"doc_id": doc_id, "n_pieces": [len(i) // 4 for i in ids], "ids_crc32": list(map(zlib.crc32, ids)), "decoded_bytes": list(map(len, text)), "decoded_crc32": list(map(zlib.crc32, text))}
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:  # in one worker: a second one would hold the model again
+        for b in batches:
+            yield told(b.column("doc_id"), plain_ids(b.column("text").to_pylist(), model))
+
+    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            ids = b.column("ids").to_pylist()
-            text = [decode_ids(i, model).encode() for i in ids]
-            yield {"doc_id": b.column("doc_id"), "n_pieces": [len(i) // 4 for i in ids], "ids_crc32": list(map(zlib.crc32, ids)), "decoded_bytes": list(map(len, text)), "decoded_crc32": list(map(zlib.crc32, text))}
+            yield told(b.column("doc_id"), b.column("ids").to_pylist())
 
-    return arrow_map(encode(docs, model), run, "doc_id long, n_pieces long, ids_crc32 long, decoded_bytes long, decoded_crc32 long")
+    return arrow_map(small, both, schema).unionByName(arrow_map(_giant(giant, model), back, schema))
 
 
 def pieces_of(spark: SparkSession, sf_dir: str) -> DataFrame:

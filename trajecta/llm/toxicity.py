@@ -39,8 +39,8 @@ _INNER = re.compile(r"[^\W\d_][0-9@$!*#]+[^\W_]")
 _STRETCH = re.compile(r"([^\W\d_])\1\1")
 _APART = re.compile(r"[^\W\d_](?:[.\-_*][^\W\d_]){2,}\W?")
 _SEPARATED = re.compile(r"[.\-_*'’]")
-#: Entries of a worker's cache of words.
-CACHED = 500_000
+#: Entries of a worker's cache of words (about 150 bytes each).
+CACHED = 150_000
 
 
 def word(chunk: bytes) -> str:
