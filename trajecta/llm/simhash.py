@@ -178,11 +178,26 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
                         at = (k[i : i + 256] | (g & np.int64(_signed(gap))))[:, None] ^ flips[None, :]
                         yield {"point": at.ravel(), "fp": np.repeat(g, len(flips))}
 
-    ball = arrow_map(resolved.where("which >= 0").distinct(), points, "point long, fp long")
-    ball = saved(ball, "ball", 1 << 12) if not resolved.where("which >= 0").isEmpty() else ball
-    least = ball.groupBy("point").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z").drop("z")
-    stars = ball.join(least, "point").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
-    return pairs.unionByName(stars)
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        """Rows by point, then fp: each fingerprint with the smallest one of its point."""
+        last = head = None  # the point that may go on, and its smallest fingerprint
+        for b in batches:
+            if not b.num_rows:
+                continue
+            point, fp = (b.column(c).to_numpy() for c in ("point", "fp"))
+            new = np.concatenate([[last is None or point[0] != last], point[1:] != point[:-1]])
+            heads = np.concatenate([[fp[0] if head is None else head], fp[new]])
+            least = heads[np.cumsum(new)]
+            last, head = point[-1], least[-1]
+            found = np.unique(np.stack([least, fp], 1)[least != fp], axis=0)
+            if len(found):
+                yield {"a": found[:, 0], "b": found[:, 1]}
+
+    long = resolved.where("which >= 0").distinct()
+    if long.isEmpty():
+        return pairs
+    ball = arrow_map(long, points, "point long, fp long").repartition("point").sortWithinPartitions("point", "fp")
+    return pairs.unionByName(saved(arrow_map(ball, stars, "a long, b long"), "stars", 1 << 15).distinct())
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
