@@ -522,7 +522,22 @@ def kf_batch(spark, sf):
     return last.select("seq_id", "obj_id", "n", *cols, r6(F.col("s.d"), "d", 4))
 
 
-@query()
+#: Covariances depend on the step alone, so they and the gains (of the update: k0, k1; of the smoother: a matrix) come once.
+@query(f"""{_Z}, r AS MATERIALIZED (SELECT seq_id, obj_id, frame, cx, cy, row_number() OVER (PARTITION BY seq_id, obj_id ORDER BY frame) AS n, count(*) OVER (PARTITION BY seq_id, obj_id) AS last FROM z),
+steps AS (SELECT max(n) AS most FROM r),
+cv AS (SELECT 1::BIGINT AS n, 25.0::DOUBLE AS a, 0.0::DOUBLE AS b, 100.0::DOUBLE AS c, 0.0::DOUBLE AS k0, 0.0::DOUBLE AS k1
+UNION ALL SELECT n + 1, pa - pa / s * pa, pb - pa / s * pb, pc - pb / s * pb, pa / s, pb / s
+FROM (SELECT n, a + 2 * b + c + 1 AS pa, b + c AS pb, c + 1 AS pc, a + 2 * b + c + 26 AS s FROM cv, steps WHERE n < most)),
+gain AS MATERIALIZED (SELECT n, k0, k1, ((a + b) * pc - b * pb) / e AS g00, (b * pa - (a + b) * pb) / e AS g01, ((b + c) * pc - c * pb) / e AS g10, (c * pa - (b + c) * pb) / e AS g11
+FROM (SELECT *, pa * pc - pb * pb AS e FROM (SELECT *, a + 2 * b + c + 1 AS pa, b + c AS pb, c + 1 AS pc FROM cv))),
+fw AS (SELECT seq_id, obj_id, n, last, cx AS x, 0.0::DOUBLE AS vx, cy AS y, 0.0::DOUBLE AS vy FROM r WHERE n = 1
+UNION ALL SELECT fw.seq_id, fw.obj_id, r.n, r.last, x + vx + k0 * (cx - x - vx), vx + k1 * (cx - x - vx), y + vy + k0 * (cy - y - vy), vy + k1 * (cy - y - vy)
+FROM fw JOIN r ON r.seq_id = fw.seq_id AND r.obj_id = fw.obj_id AND r.n = fw.n + 1 JOIN gain ON gain.n = r.n),
+f AS MATERIALIZED (SELECT * FROM fw),
+bw AS (SELECT seq_id, obj_id, n, x, vx, y, vy FROM f WHERE n = last AND n > 1
+UNION ALL SELECT f.seq_id, f.obj_id, f.n, f.x + g00 * (bw.x - f.x - f.vx) + g01 * (bw.vx - f.vx), f.vx + g10 * (bw.x - f.x - f.vx) + g11 * (bw.vx - f.vx), f.y + g00 * (bw.y - f.y - f.vy) + g01 * (bw.vy - f.vy), f.vy + g10 * (bw.y - f.y - f.vy) + g11 * (bw.vy - f.vy)
+FROM bw JOIN f ON f.seq_id = bw.seq_id AND f.obj_id = bw.obj_id AND f.n = bw.n - 1 AND f.n > 1 JOIN gain ON gain.n = f.n)
+SELECT seq_id, obj_id, frame, round(x, 4) + 0.0 AS x, round(y, 4) + 0.0 AS y FROM bw JOIN r USING (seq_id, obj_id, n)""")
 def kf_smooth(spark, sf):
     """Smoothed centres of every object by the matrix filter (a constant-velocity point)."""
     import numpy as np
@@ -540,7 +555,8 @@ def kf_smooth(spark, sf):
         out["x"], out["y"] = [float(s[0, 0]) for s in xs], [float(s[1, 0]) for s in xs]
         return out
 
-    return _measured(spark, sf).groupBy("obj_id").applyInPandas(run, "seq_id int, obj_id long, frame int, x double, y double")
+    smooth = _measured(spark, sf).groupBy("seq_id", "obj_id").applyInPandas(run, "seq_id int, obj_id long, frame int, x double, y double")
+    return smooth.select("seq_id", "obj_id", "frame", r6(F.col("x"), "x", 4), r6(F.col("y"), "y", 4))
 
 
 # ---- assignment and flow --------------------------------------------------------------
