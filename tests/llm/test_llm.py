@@ -366,6 +366,24 @@ def test_toxicity_on_held_out_rows(spark, none):
     assert empty.count() == 0
 
 
+def test_toxicity_of_odd_tables(spark, monkeypatch):
+    texts = [None, "", "you idiot", "a fine day", "you idiot", "x " * 20_000, "漢字 😀"]
+    docs = frame(spark, texts, [1, 2, 3, 4, 3, 6, None]).withColumn("toxic", F.lit("z")).withColumn("score", F.lit("z"))
+    none = spark.createDataFrame([], "doc_id long, toxic int, score int")
+    assert {(r.score, r.predicted) for r in toxicity.toxicity(docs, none).collect()} == {(0.0, 0)}
+    bad = spark.createDataFrame([(i, 1, 9) for i in (1, 2, 3, 4, 6, None)], none.schema)
+    got = toxicity.toxicity(docs, bad).collect()
+    assert len(got) == len(texts) and {(r.score, r.predicted) for r in got} == {(1.0, 1)}
+    assert all(r.held_out == (zlib.crc32(b"" if r.doc_id is None else str(r.doc_id).encode()) % 5 == 0) for r in got)
+    assert toxicity.without_toxic(docs, none).columns == docs.columns and toxicity.without_toxic(docs, none).count() == len(texts)
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic, fold: seen.append((texts, toxic.tolist())))
+    both = spark.createDataFrame([(i, int(i == 3), 9) for i in range(1, 7)] + [(4, 1, 9), (4, 0, 9), (2, None, 9), (6, 5, 9)], none.schema)
+    toxicity.train(docs, both)
+    want = [(i, t, y) for i, t, y in [(1, b"", 0), (2, b"", 0), (3, b"you idiot", 1), (4, b"a fine day", 1), (6, texts[5].encode(), 0)] if zlib.crc32(str(i).encode()) % 5]
+    assert seen == [([t for _, t, _ in want], [y for _, _, y in want])]
+
+
 def test_isotonic_and_trees():
     rng = np.random.default_rng(0)
     x = rng.random((400, 3))

@@ -276,11 +276,15 @@ def fit(texts: list[bytes], toxic: np.ndarray, fold: np.ndarray) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Model:
     """Fit on labelled rows whose crc32(doc_id) mod 5 is not 0; at most ``most`` of them, those
-    with the least hashes of their ids."""
+    with the least hashes of their ids. Rows with the same doc_id count once, with their least
+    text; labels that contradict each other count as toxic. Null texts are empty. Without labels
+    of both classes the score is their share of toxic ones (0 without any)."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL AND toxic IN (0, 1)")
     marked = marked.where(crc_mod("doc_id", 5) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = F.broadcast(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(picked, "doc_id").select("doc_id", as_bytes().alias("text"), "toxic", (F.pmod(F.xxhash64("doc_id"), F.lit(5))).alias("fold")).toPandas()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(picked, "doc_id")
+    # one text of each id, however many rows repeat it
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", as_bytes().alias("text"), "toxic", (F.pmod(F.xxhash64("doc_id"), F.lit(5))).alias("fold")).toPandas()
     rows = rows.sort_values(["doc_id", "text"], kind="stable").reset_index(drop=True)
     return fit([bytes(t) for t in rows["text"]], rows["toxic"].to_numpy(), rows["fold"].to_numpy())
 
