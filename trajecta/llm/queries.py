@@ -1,4 +1,4 @@
-"""The eleven queries of this subpackage over whole tables, and SQL where it can say the same."""
+"""The queries of this subpackage over whole tables, and SQL where it can say the same."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajecta.llm import bpe, decontaminate, language, media, pieces, quality, records, simhash, substrings, toxicity
+from trajecta.llm import bpe, decontaminate, language, media, negatives, pieces, projection, quality, records, runs, simhash, substrings, toxicity
 from trajecta.llm.common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,9 +92,42 @@ UNION ALL SELECT doc_id, i.item_id, 0, 1.0::DOUBLE FROM dw JOIN (SELECT w, min(i
 """
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.negatives_digest(table(spark, sf_dir, "embeddings"))
+
+
+OP11_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS alike, list_dot_product(a.v, b.v)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id),
+p AS (SELECT * FROM (SELECT anchor_id, other_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) AS k FROM s WHERE alike) WHERE k <= 5),
+n AS (SELECT p.anchor_id, positive_id, positive_score, other_id AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) AS r
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT alike AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, r::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE r <= 3
+"""
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digest(table(spark, sf_dir, "documents"), runs.planted)
+
+
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP13_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.95),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links, m.c AS component_id, e.vec_id = m.c AS kept
+FROM embeddings e JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) m ON m.a = e.vec_id
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_quality, op3_token_counts, op4_language_id, op5_token_records, op6_media_columns, op7_substring_dedup, op8_simhash_near_dedup, op9_toxicity, op10_decontamination)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_quality, op3_token_counts, op4_language_id, op5_token_records, op6_media_columns, op7_substring_dedup, op8_simhash_near_dedup, op9_toxicity, op10_decontamination, op11_hard_negatives, op12_periodic_runs, op13_embedding_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_substring_dedup": OP7_SQL, "op10_decontamination": OP10_SQL}
+    return {"op7_substring_dedup": OP7_SQL, "op10_decontamination": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op13_embedding_near_dedup": OP13_SQL}
