@@ -15,7 +15,7 @@ merged by a window over at most (list length x tasks) rows of an anchor.
 
 Rows with a null id or label, a null vector, or a null or non-finite component take no part. Of
 rows with the same id the smallest by (label, vector) does. Shorter vectors count as filled up
-with zeros. Scores are 64-bit integers. Fewer positives or negatives than asked for: all of
+with zeros. Scores are 64-bit integers (sums beyond wrap around). Fewer positives or negatives than asked for: all of
 them. Empty tables give an empty result; extra columns are not read.
 """
 
@@ -245,7 +245,7 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, positives: int = POSIT
     spark = vectors.sparkSession
     rows = vectors.groupBy("vec_id").agg(F.min(F.struct("label", "v")).alias("x")).select("vec_id", F.col("x.label").cast("long").alias("label"), F.col("x.v").alias("v"))
     rows = saved(rows, "integers")
-    width = rows.agg(F.max(F.size("v"))).first()[0] or 0
+    width = max(1, rows.agg(F.max(F.size("v"))).first()[0] or 0)
     axes = axes_of(rows, width)
     asked = saved(rows.where(is_anchor), "anchors")
     packs = lambda n, size: max(1, -(-n // size))

@@ -15,8 +15,8 @@ def whole(name: str = "embedding") -> Column:
 
 
 def longest(df: DataFrame, name: str = "embedding") -> int:
-    """The largest number of components; shorter vectors count as filled up with zeros."""
-    return df.agg(F.max(F.size(name))).first()[0] or 0
+    """The largest number of components, 1 at least; shorter vectors count as filled up with zeros."""
+    return max(1, df.agg(F.max(F.size(name))).first()[0] or 0)
 
 
 def matrix(column: pa.Array, width: int, kind: type) -> np.ndarray:
