@@ -602,8 +602,10 @@ def bhattacharyya(spark, sf):
     return a.join(b, "part").where("a < b").select("a", "b", r6(flow.bhattacharyya(F.col("ea"), F.col("eb")), "distance"))
 
 
-_UNLIKE = f"round({_BHATT.format(a='ae', b='be')}, 6)"
-_LINKS = f"""@hd AS (SELECT det.*, list_transform(embedding, lambda x: abs(x::DOUBLE)) AS e FROM det JOIN embeddings ON vec_id = event_id % (SELECT count(*) FROM embeddings)),
+_UNLIKE = "round(sqrt(greatest(0, 1 - list_dot_product(ae, be))), 6)"
+_LINKS = f"""@hn AS (SELECT vec_id, list_transform(embedding, lambda x: abs(x::DOUBLE)) AS e, list_sum(e) AS t FROM embeddings),
+he AS (SELECT vec_id, list_transform(list_zip(e, list_resize([t], len(e), t)), lambda x: sqrt(x[1] / x[2])) AS e FROM hn),
+hd AS (SELECT det.*, e FROM det JOIN he ON vec_id = event_id % (SELECT count(*) FROM embeddings)),
 p AS (SELECT a.e AS ae, b.e AS be, a.seq_id, a.frame AS a_frame, a.det_idx AS a_det_idx, b.frame AS b_frame, b.det_idx AS b_det_idx, b.frame - a.frame AS gap, a.score AS a_score, b.score AS b_score, a.x AS ax, a.y AS ay, a.w AS aw, a.h AS ah, b.x AS bx, b.y AS by_, b.w AS bw, b.h AS bh FROM hd a JOIN hd b ON a.seq_id = b.seq_id AND b.frame > a.frame AND b.frame <= a.frame + 2),
 links AS (SELECT seq_id, a_frame AS frame, a_det_idx AS det_idx, b_frame AS next_frame, b_det_idx AS next_idx, gap, round(-ln(0.5::DOUBLE * coalesce({_IOU}, 0) * pow(0.7::DOUBLE, gap - 1) + 0.5::DOUBLE * (1 - {_UNLIKE}) + 1e-5::DOUBLE), 6) + 0.0 AS cost FROM p WHERE NOT ({_FAR})),
 gated AS (SELECT * FROM links WHERE cost <= -ln(0.4::DOUBLE))"""
@@ -613,9 +615,7 @@ _FLOW = flow.FlowSettings(threshold=0.916290731874155, misses=1, most_flow=None)
 def _links(spark, sf):
     """Links with the appearance term: the distance of the vectors' absolute values as histograms."""
     d = _featured(spark, sf).withColumn("feature", F.transform("feature", lambda x: F.abs(x.cast("double"))))
-    unlike = F.round(flow.bhattacharyya(F.col("a_feature"), F.col("b_feature")), 6)
-    cost = lambda p: r6(flow.transition_cost(unlike, 0.7), "cost")
-    return flow.transitions(d, cost, _FLOW)
+    return flow.unlike_links(d, _FLOW)
 
 
 @query(f"{_LINKS} SELECT * FROM gated")
@@ -653,8 +653,8 @@ def _featured(spark, sf):
     return d.withColumn("vec_id", F.pmod("event_id", F.lit(v.count()))).join(v, "vec_id").drop("vec_id", "event_id")
 
 
-_FEAT = "@fd AS (SELECT det.*, list_transform(embedding, lambda x: x::DOUBLE) AS f FROM det JOIN embeddings ON vec_id = event_id % (SELECT count(*) FROM embeddings))"
-_COS = "list_sum(list_transform(list_zip({a}, {b}), lambda x: x[1] * x[2])) / sqrt(list_sum(list_transform({a}, lambda x: x * x)) * list_sum(list_transform({b}, lambda x: x * x)))"
+_FEAT = "@fv AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e, sqrt(list_dot_product(e, e)) AS n FROM embeddings), fu AS (SELECT vec_id, list_transform(list_zip(e, list_resize([n], len(e), n)), lambda x: x[1] / x[2]) AS f FROM fv), fd AS (SELECT det.*, f FROM det JOIN fu ON vec_id = event_id % (SELECT count(*) FROM embeddings))"
+_COS = "list_dot_product({a}, {b})"
 _NEAR = f"{_FEAT}, fp AS (SELECT a.seq_id, a.frame AS a_frame, a.det_idx AS a_det_idx, a.obj_id AS a_obj, b.frame AS b_frame, b.det_idx AS b_det_idx, b.obj_id AS b_obj, b.frame - a.frame AS gap, {_COS.format(a='a.f', b='b.f')} AS s, a.x AS ax, a.y AS ay, a.w AS aw, a.h AS ah, b.x AS bx, b.y AS by_, b.w AS bw, b.h AS bh FROM fd a JOIN fd b ON a.seq_id = b.seq_id AND b.frame > a.frame AND b.frame <= a.frame + @GAPS@)"
 
 
