@@ -714,11 +714,43 @@ def iou_verify(spark, sf):
     return affinity.verified(d, t, _LEAST)
 
 
-@query(f"""{_NEAR.replace('@GAPS@', '1')}, near AS (SELECT * FROM fp WHERE a_obj <> b_obj AND NOT EXISTS (SELECT 1 FROM fd WHERE fd.seq_id = fp.seq_id AND fd.obj_id = a_obj AND fd.frame = b_frame) AND NOT EXISTS (SELECT 1 FROM fd WHERE fd.seq_id = fp.seq_id AND fd.obj_id = b_obj AND fd.frame = a_frame))
-SELECT seq_id, least(a_obj, b_obj) AS track_a, greatest(a_obj, b_obj) AS track_b, round(avg(s), 6) + 0.0 AS similarity, count(*) AS n FROM near GROUP BY ALL""")
+#: Objects' detections of some score only, so that tracks have gaps; a part of a long one is a
+#: track of its own, for there is nothing to merge in whole objects.
+_GAPPY = f"""{_NEAR.replace('@GAPS@', '1').replace('FROM fd a JOIN fd b', 'FROM gd a JOIN gd b').replace(', fp AS', ', gd AS (SELECT * REPLACE (obj_id * 10 + frame // 30 AS obj_id) FROM fd WHERE score >= 0.5), fp AS')},
+both_ AS (SELECT seq_id, a_obj AS i, b_obj AS j, b_frame AS fr, s FROM fp WHERE a_obj <> b_obj UNION ALL SELECT seq_id, b_obj, a_obj, a_frame, s FROM fp WHERE a_obj <> b_obj),
+ms AS (SELECT both_.seq_id, i AS track_id, j AS other_id, round(avg(s), 6) + 0.0 AS similarity, count(*) AS n FROM both_ ANTI JOIN gd ON gd.seq_id = both_.seq_id AND gd.obj_id = i AND gd.frame = fr GROUP BY ALL)"""
+
+
+def _gappy(spark, sf):
+    d = _featured(spark, sf).where("score >= 0.5").withColumn("track_id", F.col("obj_id") * 10 + F.floor(F.col("frame") / 30))
+    return d.drop("obj_id", "track_id"), d.select("seq_id", "track_id", "frame", "det_idx")
+
+
+@query(f"{_GAPPY} SELECT * FROM ms")
 def merge_similarity(spark, sf):
-    d, t = _named(spark, sf)
-    return affinity.merge_similarity(d, t).select("seq_id", "track_a", "track_b", r6(F.col("similarity"), "similarity"), "n")
+    return affinity.merge_similarity(*_gappy(spark, sf)).select("seq_id", "track_id", "other_id", r6(F.col("similarity"), "similarity"), "n")
+
+
+_MERGES = f"""{_GAPPY},
+want AS (SELECT seq_id, track_id AS i, other_id AS j FROM (SELECT *, row_number() OVER (PARTITION BY seq_id, track_id ORDER BY similarity DESC, other_id) AS k FROM ms WHERE similarity > 0.05) WHERE k = 1),
+turn AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY i) AS t FROM want),
+fold AS (SELECT DISTINCT seq_id, 0::BIGINT AS t, []::BIGINT[] AS used, NULL::BIGINT AS i, NULL::BIGINT AS j FROM turn
+  UNION ALL SELECT turn.seq_id, turn.t, CASE WHEN list_contains(used, turn.i) THEN used ELSE list_append(used, turn.j) END, CASE WHEN list_contains(used, turn.i) THEN NULL ELSE turn.i END, turn.j FROM fold JOIN turn ON turn.seq_id = fold.seq_id AND turn.t = fold.t + 1),
+pr AS (SELECT seq_id, i, j FROM fold WHERE i IS NOT NULL),
+tr AS (SELECT seq_id, obj_id AS track_id, frame, det_idx, (85 - max(frame) OVER (PARTITION BY seq_id, obj_id))::INT AS age FROM gd),
+ch AS (SELECT DISTINCT seq_id, track_id AS into_, track_id AS node, NULL::BIGINT AS before, 0 AS away FROM tr
+  UNION ALL SELECT ch.seq_id, ch.into_, pr.j, ch.node, ch.away + 1 FROM ch JOIN pr ON pr.seq_id = ch.seq_id AND pr.i = ch.node AND (ch.before IS NULL OR ch.node < ch.before)),
+nd AS (SELECT ch.seq_id, ch.into_, ch.away, tr.frame, tr.det_idx, min(tr.age) OVER (PARTITION BY ch.seq_id, ch.into_) AS age FROM ch JOIN tr ON tr.seq_id = ch.seq_id AND tr.track_id = ch.node),
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seq_id, into_, frame ORDER BY away) AS k FROM nd) WHERE k = 1),
+lst AS (SELECT *, row_number() OVER (PARTITION BY seq_id, into_ ORDER BY frame DESC) AS back FROM one)"""
+
+
+@query(f"""{_MERGES} SELECT seq_id, into_ AS track_id, frame, det_idx, age FROM lst WHERE (back <= 10 OR NOT EXISTS (SELECT 1 FROM pr WHERE pr.seq_id = lst.seq_id AND pr.i = into_)) AND NOT EXISTS (SELECT 1 FROM pr WHERE pr.seq_id = lst.seq_id AND pr.j = into_)""")
+def merged_tracks(spark, sf):
+    d, t = _gappy(spark, sf)
+    s = affinity.merge_similarity(d, t).withColumn("similarity", F.round("similarity", 6))
+    aged = t.withColumn("age", (F.lit(85) - F.max("frame").over(Window.partitionBy("seq_id", "track_id"))).cast("int"))
+    return tracker.merged_tracks(aged, tracker.merge_pairs(s, 0.05), 10)
 
 
 @query("SELECT seq_id, obj_id AS track_id, frame, (frame - lag(frame, 1, frame) OVER w)::INT AS age FROM det WINDOW w AS (PARTITION BY seq_id, obj_id ORDER BY frame)")
