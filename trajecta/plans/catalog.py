@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trajecta.functions import geometry as G
-from trajecta.operators import affinity, assignment, epipolar, evaluate, flow, kalman, pairs, tracker, transforms
+from trajecta.operators import affinity, assignment, descriptors, epipolar, evaluate, flow, kalman, pairs, tracker, transforms, warp
 from trajecta.sources import fixture, mot
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -916,3 +916,70 @@ def fundamental_matrix(spark, sf):
     g = gt(spark, sf).select("seq_id", "frame", "obj_id", (F.col("x") + F.col("w") / 2).alias("u"), (F.col("y") + F.col("h") / 2).alias("v"))
     both = pairs.frame_pairs(g, g).where("a_obj_id = b_obj_id")
     return epipolar.fundamental_matrices(both)
+
+
+# ---- descriptors and warps --------------------------------------------------------------
+
+_WORD = "((((obj_id + 1) * 2654435761 + {k} * 40503) % 2147483647) * 2147483648 + ((obj_id + 7) * 805459861 + {k} * 97) % 2147483647)"
+
+
+def _described(spark, sf):
+    """Detections with descriptors of their object, of which each detection has two bits changed."""
+    d = fixture.load(spark, sf)[0]
+    flip = lambda w: F.when(F.col("event_id") % 4 == w, F.expr("shiftleft(1L, CAST(event_id % 61 AS INT)) ^ shiftleft(1L, CAST((event_id + 17) % 61 AS INT))")).otherwise(F.lit(0).cast("long"))
+    words = F.array(*[F.expr(_WORD.format(k=w)).bitwiseXOR(flip(w)) for w in range(4)])
+    return d.select("seq_id", "frame", F.col("det_idx").alias("idx"), words.alias("words"), (F.col("x") + F.col("w") / 2).alias("u"), (F.col("y") + F.col("h") / 2).alias("v"))
+
+
+def _matched(spark, sf):
+    d = _described(spark, sf)
+    return descriptors.matches(d, d.withColumn("frame", F.col("frame") - 1), ["seq_id", "frame"], 15, 50)
+
+
+@query(f"""@ds AS (SELECT seq_id, frame, det_idx, {', '.join(f"xor({_WORD.format(k=w)}, CASE WHEN event_id % 4 = {w} THEN xor(1::BIGINT << (event_id % 61)::INT, 1::BIGINT << ((event_id + 17) % 61)::INT) ELSE 0 END) AS w{w}" for w in range(4))} FROM det),
+hm AS (SELECT a.seq_id, a.frame, a.det_idx AS a_idx, b.det_idx AS b_idx, ({' + '.join(f'bit_count(xor(a.w{w}, b.w{w}))::INT' for w in range(4))})::INT AS distance FROM ds a JOIN ds b ON a.seq_id = b.seq_id AND b.frame = a.frame + 1),
+mu AS (SELECT *, row_number() OVER (PARTITION BY seq_id, frame, a_idx ORDER BY distance, b_idx) AS i, row_number() OVER (PARTITION BY seq_id, frame, b_idx ORDER BY distance, a_idx) AS j FROM hm),
+rk AS (SELECT seq_id, frame, a_idx, b_idx, distance, row_number() OVER (PARTITION BY seq_id, frame ORDER BY distance, a_idx, b_idx)::INT AS rank FROM mu WHERE i = 1 AND j = 1 AND distance <= 15)
+SELECT * FROM rk WHERE rank <= 50""")
+def descriptor_matches(spark, sf):
+    return _matched(spark, sf)
+
+
+@query()
+def fundamental_from_matches(spark, sf):
+    return epipolar.fundamental_from_matches(_described(spark, sf), _matched(spark, sf))
+
+
+def _centres(spark, sf):
+    """Matched centres of an object in a frame and the next one."""
+    d = fixture.load(spark, sf)[0].select("seq_id", "frame", "obj_id", (F.col("x") + F.col("w") / 2).alias("u"), (F.col("y") + F.col("h") / 2).alias("v"))
+    p = pairs.frame_pairs(d, d).where("a_obj_id = b_obj_id")
+    return p.select("seq_id", F.col("a_frame").alias("frame"), F.col("a_u").alias("ax"), F.col("a_v").alias("ay"), F.col("b_u").alias("bx"), F.col("b_v").alias("by"))
+
+
+def _warp(spark, sf, mode):
+    w = warp.warps(_centres(spark, sf), mode, ["seq_id", "frame"])
+    return w.select("seq_id", "frame", "n", *[r6(F.col(c), c, 5) for c in ("w00", "w01", "w02", "w10", "w11", "w12")])
+
+
+_CENTRES = """@mc AS (SELECT a.seq_id, a.frame, a.x + a.w / 2 AS x, a.y + a.h / 2 AS y, b.x + b.w / 2 AS u, b.y + b.h / 2 AS v FROM det a JOIN det b ON a.seq_id = b.seq_id AND a.obj_id = b.obj_id AND b.frame = a.frame + 1),
+sm AS (SELECT seq_id, frame, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(u) AS mu, avg(v) AS mv, n * sum(x * x) - sum(x) * sum(x) AS cxx, n * sum(x * y) - sum(x) * sum(y) AS cxy, n * sum(y * y) - sum(y) * sum(y) AS cyy, n * sum(x * u) - sum(x) * sum(u) AS cxu, n * sum(y * u) - sum(y) * sum(u) AS cyu, n * sum(x * v) - sum(x) * sum(v) AS cxv, n * sum(y * v) - sum(y) * sum(v) AS cyv FROM mc GROUP BY seq_id, frame)"""
+_WARPED = "SELECT seq_id, frame, n, " + ", ".join(f"round({c}, 5) + 0.0 AS {n}" for n, c in (("w00", "a"), ("w01", "b"), ("w02", "mu - a * mx - b * my"), ("w10", "c"), ("w11", "d"), ("w12", "mv - c * mx - d * my"))) + " FROM wp"
+
+
+@query(f"{_CENTRES}, wp AS (SELECT *, 1::DOUBLE AS a, 0::DOUBLE AS b, 0::DOUBLE AS c, 1::DOUBLE AS d FROM sm) {_WARPED}")
+def warp_translation(spark, sf):
+    return _warp(spark, sf, "translation")
+
+
+@query(f"""{_CENTRES}, gn AS (SELECT seq_id, frame, 0 AS k, 0::DOUBLE AS t FROM sm WHERE n >= 2
+  UNION ALL SELECT gn.seq_id, gn.frame, k + 1, t + (cos(t) * (cxv - cyu) - sin(t) * (cxu + cyv)) / nullif(cxx + cyy, 0) FROM gn JOIN sm USING (seq_id, frame) WHERE k < 30),
+wp AS (SELECT sm.*, cos(t) AS a, -sin(t) AS b, sin(t) AS c, cos(t) AS d FROM sm LEFT JOIN gn ON gn.seq_id = sm.seq_id AND gn.frame = sm.frame AND k = 30) {_WARPED}""")
+def warp_euclidean(spark, sf):
+    return _warp(spark, sf, "euclidean")
+
+
+@query(f"""{_CENTRES}, dt AS (SELECT *, CASE WHEN n >= 3 THEN nullif(cxx * cyy - cxy * cxy, 0) END AS q FROM sm),
+wp AS (SELECT *, (cxu * cyy - cyu * cxy) / q AS a, (cyu * cxx - cxu * cxy) / q AS b, (cxv * cyy - cyv * cxy) / q AS c, (cyv * cxx - cxv * cxy) / q AS d FROM dt) {_WARPED}""")
+def warp_affine(spark, sf):
+    return _warp(spark, sf, "affine")
