@@ -105,6 +105,14 @@ _ARROW = {
 }
 
 
+def fresh(columns: list[str]) -> str:
+    """A prefix that none of the columns begins with."""
+    out = "__"
+    while any(c.lower().startswith(out) for c in columns):
+        out += "_"
+    return out
+
+
 def steps(texts: list[bytes], most: int = BYTES_PER_STEP) -> Iterator[tuple[int, int]]:
     """Ranges of documents that hold about ``most`` bytes, one document at least."""
     begin = size = 0

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajecta.llm.common import arrow_map, as_bytes, saved
+from trajecta.llm.common import arrow_map, as_bytes, fresh, saved
 from trajecta.llm.components import components
 
 RADIUS, WIDTH, SEED = 4, 4, 42
@@ -275,13 +275,25 @@ def _agreement(a: bytes, b: bytes) -> float:
 
 
 def _candidates(contents: DataFrame, of: str, radius: int) -> DataFrame:
-    """contents(content, ...) -> (a, b): links of contents by the fingerprint ``of``."""
-    classes = contents.groupBy(F.col(of).alias("fp")).agg(F.min("content").alias("head"), F.count(F.lit(1)).alias("n"))
-    own = contents.select("content", F.col(of).alias("fp")).join(classes.where("n > 1").hint("merge"), "fp").where("content <> head")
-    own = own.select(F.col("head").alias("a"), F.col("content").alias("b"))
-    heads = classes.select("fp", "head")
-    across = links(classes.select("fp"), radius).join(heads.toDF("a", "ha").hint("merge"), "a").join(heads.toDF("b", "hb").hint("merge"), "b")
-    return own.unionByName(across.select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b")))
+    """contents(content, ...) -> (a, b): pairs of contents whose fingerprints ``of`` are within
+    ``radius`` bits by the links found. Similarity is judged pair by pair, so it is no matter of
+    the classes' heads: up to ``FEW`` contents of one fingerprint meet each other, and so do the
+    contents of two linked ones if that makes no more than ``FEW`` pairs. In larger classes, all
+    meet the smallest content of theirs, and smallest ones meet."""
+    named = contents.select("content", F.col(of).alias("fp"))
+    classes = named.groupBy("fp").agg(F.min("content").alias("head"), F.count(F.lit(1)).alias("n"))
+    own = named.join(classes.where("n > 1").hint("merge"), "fp")
+    large = own.where((F.col("n") > FEW) & (F.col("content") != F.col("head"))).select(F.col("head").alias("a"), F.col("content").alias("b"))
+    small = own.where(F.col("n") <= FEW).groupBy("fp").agg(F.sort_array(F.collect_list("content")).alias("c"))  # at most FEW
+    inside = small.select(F.posexplode("c").alias("k", "a"), "c").select("a", F.explode(F.slice("c", F.col("k") + 2, F.lit(FEW))).alias("b"))
+    sized = lambda p: classes.select(F.col("fp").alias(p), F.col("head").alias(f"h{p}"), F.col("n").alias(f"n{p}")).hint("merge")
+    across = links(classes.select("fp"), radius).join(sized("a"), "a").join(sized("b"), "b")
+    few = F.col("na") * F.col("nb") <= FEW
+    heads = across.where((F.col("na") * F.col("nb") == 1) | ~few).select("ha", "hb")
+    member = lambda p: named.select(F.col("fp").alias(p), F.col("content").alias(f"h{p}")).hint("merge")
+    all_ = across.where(few & (F.col("na") * F.col("nb") > 1)).select("a", "b").join(member("a"), "a").join(member("b"), "b").select("ha", "hb")
+    met = heads.unionByName(all_).select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))
+    return large.unionByName(inside).unionByName(met)
 
 
 def similar_groups(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
@@ -319,19 +331,21 @@ def one_of_each(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMIL
     similarity of ``similarity`` or more) the row with the smallest doc_id stays (null ids last,
     then by a hash of the text; of rows with equal id and text one).
 
-    Null text has no words and is a copy of any other text without words. No rows: no rows.
+    Null text has no words and is a copy of any other text without words. No rows: no rows. No
+    name of a further column clashes.
     """
     rows, roots = similar_groups(docs, width, similarity, radius)
     grouped = rows.join(roots.hint("merge"), "content", "left").select("doc", "text_key", F.coalesce("root", "content").alias("root"))
     grouped = saved(grouped, "grouped")
     least = grouped.groupBy("root").agg(F.min("doc").alias("doc"))
     stay = grouped.join(least.hint("merge"), ["root", "doc"]).groupBy("root", "doc").agg(F.min("text_key").alias("text_key"), F.count(F.lit(1)).alias("n"))
-    stay = saved(stay.select(F.col("doc").alias("__id"), F.col("text_key").alias("__key"), (F.col("n") > 1).alias("__many")), "stay")
-    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("__key", F.xxhash64(as_bytes()))
-    kept = keyed.join(stay.hint("merge"), ["__id", "__key"])
-    lone = kept.where("NOT __many").select(*docs.columns)
+    p = fresh(docs.columns)
+    stay = saved(stay.select(F.col("doc").alias(f"{p}id"), F.col("text_key").alias(f"{p}key"), (F.col("n") > 1).alias(f"{p}many")), "stay")
+    keyed = docs.withColumn(f"{p}id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn(f"{p}key", F.xxhash64(as_bytes()))
+    kept = keyed.join(stay.hint("merge"), [f"{p}id", f"{p}key"])
+    lone = kept.where(f"NOT {p}many").select(*docs.columns)
     # repeated ids: partial sums leave one row of each task before any shuffle
-    more = kept.where("__many").groupBy("__id", "__key").agg(F.first(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    more = kept.where(f"{p}many").groupBy(f"{p}id", f"{p}key").agg(F.first(F.struct(*docs.columns)).alias(f"{p}row")).select(f"{p}row.*")
     return lone.unionByName(more)
 
 

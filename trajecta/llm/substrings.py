@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajecta.llm.common import arrow_map, as_bytes, saved, steps
+from trajecta.llm.common import arrow_map, as_bytes, fresh, saved, steps
 from trajecta.llm.wordhash import digests, run_hashes, word_hashes
 
 LENGTH, SEED = 50, 16
@@ -167,16 +167,17 @@ def _covered(n: int, start: np.ndarray, count: np.ndarray, length: int) -> np.nd
 
 
 def without_repeats(docs: DataFrame, keep: list[str], length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """Every row of ``docs`` with the columns ``keep``, then __n_words, __n_removed and __kept
-    (the words that stay, joined by one space)."""
-    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("__doc"), F.xxhash64(as_bytes()).alias("__key"), as_bytes().alias("__text")]
-    ranges = repeated_ranges(docs, length, seed).toDF("__doc", "__key", "__ranges").hint("merge")
-    cols = docs.select(*keep, *key).join(ranges, ["__doc", "__key"], "left").select(*keep, "__text", "__ranges")
+    """Every row of ``docs`` with the columns ``keep``, then n_words, n_removed and kept (the
+    words that stay, joined by one space), whose names begin with ``fresh(keep)``."""
+    p = fresh(keep)
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias(f"{p}doc"), F.xxhash64(as_bytes()).alias(f"{p}key"), as_bytes().alias(f"{p}text")]
+    ranges = repeated_ranges(docs, length, seed).toDF(f"{p}doc", f"{p}key", f"{p}ranges").hint("merge")
+    cols = docs.select(*keep, *key).join(ranges, [f"{p}doc", f"{p}key"], "left").select(*keep, f"{p}text", f"{p}ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_words, n_removed, kept = [], [], []
-            for text, (start, count) in zip(b.column("__text"), _ranges(b.column("__ranges")), strict=True):
+            for text, (start, count) in zip(b.column(f"{p}text"), _ranges(b.column(f"{p}ranges")), strict=True):
                 words = text.as_py().split()
                 n_words.append(len(words))
                 if len(start):
@@ -186,19 +187,20 @@ def without_repeats(docs: DataFrame, keep: list[str], length: int = LENGTH, seed
                 else:
                     n_removed.append(0)
                 kept.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())], names=[*keep, "__n_words", "__n_removed", "__kept"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())], names=[*keep, f"{p}n_words", f"{p}n_removed", f"{p}kept"])
 
     fields = [docs.schema[c] for c in keep]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "__n_words long, __n_removed long, __kept binary"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"{p}n_words long, {p}n_removed long, {p}kept binary"])
     return cols.mapInArrow(run, schema)
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated words taken out of ``text`` (texts without any stay as they
-    are) and ``n_chars`` counted again."""
-    out = without_repeats(docs, docs.columns)
-    some = F.col("__n_removed") > 0
-    out = out.withColumn("text", F.when(some, F.col("__kept").cast("string")).otherwise(F.col("text")))
+    are) and ``n_chars`` counted again. Null texts stay null, repeated rows stay, an empty table
+    gives an empty one, and no name of a further column clashes."""
+    out, p = without_repeats(docs, docs.columns), fresh(docs.columns)
+    some = F.col(f"{p}n_removed") > 0
+    out = out.withColumn("text", F.when(some, F.col(f"{p}kept").cast("string")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(some, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
