@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trajecta.functions import geometry as G
-from trajecta.operators import affinity, assignment, descriptors, epipolar, evaluate, flow, kalman, pairs, tracker, transforms, warp
+from trajecta.operators import affinity, assignment, descriptors, epipolar, evaluate, flow, kalman, matrices, pairs, tracker, transforms, warp
 from trajecta.sources import fixture, mot
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -540,23 +540,49 @@ FROM bw JOIN f ON f.seq_id = bw.seq_id AND f.obj_id = bw.obj_id AND f.n = bw.n -
 SELECT seq_id, obj_id, frame, round(x, 4) + 0.0 AS x, round(y, 4) + 0.0 AS y FROM bw JOIN r USING (seq_id, obj_id, n)""")
 def kf_smooth(spark, sf):
     """Smoothed centres of every object by the matrix filter (a constant-velocity point)."""
-    import numpy as np
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame", kind="stable")
-        f = np.eye(4)
-        f[0, 2] = f[1, 3] = 1.0
-        z = pdf[["cx", "cy"]].to_numpy()
-        k = kalman.MatrixFilter(np.array([[z[0, 0]], [z[0, 1]], [0.0], [0.0]]), np.diag([25.0, 25.0, 100.0, 100.0]), f, np.eye(2, 4), np.eye(4), 25.0 * np.eye(2))
-        got = k.run(list(z[1:]))
-        xs, _ = k.smooth(got["x"], got["P"])
-        out = pdf.iloc[1:][["seq_id", "obj_id", "frame"]].copy()
-        out["x"], out["y"] = [float(s[0, 0]) for s in xs], [float(s[1, 0]) for s in xs]
-        return out
-
-    smooth = _measured(spark, sf).groupBy("seq_id", "obj_id").applyInPandas(run, "seq_id int, obj_id long, frame int, x double, y double")
-    return smooth.select("seq_id", "obj_id", "frame", r6(F.col("x"), "x", 4), r6(F.col("y"), "y", 4))
+    return _smooth_points(_measured(spark, sf).withColumns({"dt": F.lit(1.0), "q": matrices.literal([[float(i == j) for j in range(4)] for i in range(4)])}))
+
+
+def _smooth_points(rows: DataFrame) -> DataFrame:
+    """rows(seq_id, obj_id, frame, cx, cy, dt, q): each object is begun by its first row, and all
+    others are filtered and smoothed."""
+    w = Window.partitionBy("seq_id", "obj_id").orderBy("frame")
+    one, zero, dt = F.lit(1.0), F.lit(0.0), F.col("dt").cast("double")
+    begin = F.first(F.array("cx", "cy", zero, zero)).over(w)
+    model = {
+        "z": F.array("cx", "cy"),
+        "f": F.array(F.array(one, zero, dt, zero), F.array(zero, one, zero, dt), F.array(zero, zero, one, zero), F.array(zero, zero, zero, one)),
+        "h": matrices.literal([[1, 0, 0, 0], [0, 1, 0, 0]]),
+        "r": matrices.literal([[25, 0], [0, 25]]),
+        "x0": begin,
+        "p0": matrices.literal([[25, 0, 0, 0], [0, 25, 0, 0], [0, 0, 100, 0], [0, 0, 0, 100]]),
+    }
+    steps = rows.withColumns(model).withColumn("_k", F.row_number().over(w)).where("_k > 1").drop("_k")
+    done = matrices.smoothed(matrices.filtered(steps, ["seq_id", "obj_id"], "frame", 4, 2), ["seq_id", "obj_id"], "frame", 4)
+    return done.select("seq_id", "obj_id", "frame", r6(F.get("x", F.lit(0)), "x", 4), r6(F.get("x", F.lit(1)), "y", 4))
+
+
+#: The detections of score 0.25 or more, so that steps are of several lengths; noise by length.
+@query("""@d AS (SELECT seq_id, obj_id, frame, x + w / 2 - 1 AS cx, y + h / 2 - 1 AS cy FROM det WHERE score >= 0.25),
+r AS MATERIALIZED (SELECT *, (frame - lag(frame) OVER o)::DOUBLE AS dt, row_number() OVER o AS n, count(*) OVER (PARTITION BY seq_id, obj_id) AS last FROM d WINDOW o AS (PARTITION BY seq_id, obj_id ORDER BY frame)),
+fw AS (SELECT seq_id, obj_id, frame, n, last, 0.0::DOUBLE AS dt, cx AS x, 0.0::DOUBLE AS vx, cy AS y, 0.0::DOUBLE AS vy, 25.0::DOUBLE AS a, 0.0::DOUBLE AS b, 100.0::DOUBLE AS c FROM r WHERE n = 1
+UNION ALL SELECT seq_id, obj_id, frame, n, last, dt, px + pa / s * (cx - px), vx + pb / s * (cx - px), py + pa / s * (cy - py), vy + pb / s * (cy - py), pa - pa / s * pa, pb - pa / s * pb, pc - pb / s * pb
+FROM (SELECT r.seq_id, r.obj_id, r.frame, r.n, r.last, r.dt, r.cx, r.cy, x + r.dt * vx AS px, y + r.dt * vy AS py, vx, vy, a + 2 * r.dt * b + r.dt * r.dt * c + r.dt AS pa, b + r.dt * c AS pb, c + r.dt AS pc, a + 2 * r.dt * b + r.dt * r.dt * c + r.dt + 25 AS s
+  FROM fw JOIN r ON r.seq_id = fw.seq_id AND r.obj_id = fw.obj_id AND r.n = fw.n + 1)),
+f AS MATERIALIZED (SELECT * FROM fw),
+g AS MATERIALIZED (SELECT *, ((a + d * b) * pc - b * pb) / e AS g00, (b * pa - (a + d * b) * pb) / e AS g01, ((b + d * c) * pc - c * pb) / e AS g10, (c * pa - (b + d * c) * pb) / e AS g11
+FROM (SELECT *, pa * pc - pb * pb AS e FROM (SELECT *, a + 2 * d * b + d * d * c + d AS pa, b + d * c AS pb, c + d AS pc FROM (SELECT *, lead(dt) OVER (PARTITION BY seq_id, obj_id ORDER BY n) AS d FROM f)))),
+bw AS (SELECT seq_id, obj_id, n, x, vx, y, vy FROM f WHERE n = last AND n > 1
+UNION ALL SELECT g.seq_id, g.obj_id, g.n, g.x + g00 * (bw.x - g.x - d * g.vx) + g01 * (bw.vx - g.vx), g.vx + g10 * (bw.x - g.x - d * g.vx) + g11 * (bw.vx - g.vx), g.y + g00 * (bw.y - g.y - d * g.vy) + g01 * (bw.vy - g.vy), g.vy + g10 * (bw.y - g.y - d * g.vy) + g11 * (bw.vy - g.vy)
+FROM bw JOIN g ON g.seq_id = bw.seq_id AND g.obj_id = bw.obj_id AND g.n = bw.n - 1 AND g.n > 1)
+SELECT seq_id, obj_id, frame, round(bw.x, 4) + 0.0 AS x, round(bw.y, 4) + 0.0 AS y FROM bw JOIN r USING (seq_id, obj_id, n)""")
+def kf_smooth_varying(spark, sf):
+    """As kf_smooth, with F and Q by the number of frames since the row before."""
+    w = Window.partitionBy("seq_id", "obj_id").orderBy("frame")
+    d = fixture.load(spark, sf)[0].where("score >= 0.25").select("seq_id", "obj_id", "frame", "det_idx", *G.to_state(G.box()))
+    dt, zero = F.col("dt"), F.lit(0.0)
+    q = F.array(*[F.array(*[dt if i == j else zero for j in range(4)]) for i in range(4)])
+    return _smooth_points(d.withColumn("dt", (F.col("frame") - F.lag("frame").over(w)).cast("double")).withColumn("q", q))
 
 
 # ---- assignment and flow --------------------------------------------------------------
