@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trajecta.functions import geometry as G
-from trajecta.operators import affinity, assignment, descriptors, epipolar, evaluate, flow, kalman, matrices, pairs, tracker, transforms, warp
-from trajecta.sources import fixture, mot
+from trajecta.operators import affinity, assignment, descriptors, epipolar, evaluate, flow, kalman, lineage, matrices, pairs, tracker, transforms, warp
+from trajecta.sources import fixture, mot, npy
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -823,6 +823,15 @@ def dan_tracks(spark, sf):
     return tracker.appearance_tracks(_featured(spark, sf).drop("obj_id"))
 
 
+@query(f"""{_FEAT} SELECT 'seq-' || seq_id AS sequence, frame, x, y, w, h, score, round(e[1], 6) + 0.0 AS f_first, round(e[len(e)], 6) + 0.0 AS f_last, len(e)::INT AS feature_dim FROM det JOIN fv ON vec_id = event_id % (SELECT count(*) FROM embeddings)""")
+def npy_detections(spark, sf):
+    """Detections with vectors, written as .npy files in the shared folder and read from there."""
+    path = lineage.shared_path(spark, "npy")
+    npy.write_npy(_featured(spark, sf).withColumn("sequence", F.concat(F.lit("seq-"), F.col("seq_id").cast("string"))).withColumnRenamed("obj_id", "id"), path)
+    d = npy.read_npy(spark, path)
+    return d.select("sequence", "frame", "x", "y", "w", "h", "score", r6(F.element_at("feature", 1), "f_first"), r6(F.element_at("feature", -1), "f_last"), F.size("feature").alias("feature_dim"))
+
+
 # ---- transforms -----------------------------------------------------------------------
 
 
