@@ -11,13 +11,18 @@ from pyspark.sql import functions as F
 FACTORS, PRIME = (73_856_093, 19_349_663, 83_492_791), 1_000_003
 
 
-def draw(seed: int, *keys: str) -> Column:
-    """A number in [0, 1) from integers: a sum of multiples, squared modulo a prime."""
+def whole_draw(seed: int, *keys: str | Column) -> Column:
+    """An integer below the prime from integers: a sum of multiples, squared modulo the prime."""
     total = F.lit(seed * 2_654_435_761 % PRIME).cast("bigint")
     for k, factor in zip(keys, FACTORS, strict=False):
-        total = total + F.col(k).cast("bigint") * F.lit(factor)
+        total = total + (F.col(k) if isinstance(k, str) else k).cast("bigint") * F.lit(factor)
     mixed = F.pmod(total, F.lit(PRIME))
-    return F.pmod(mixed * mixed + mixed * F.lit(7919), F.lit(PRIME)).cast("double") / F.lit(float(PRIME))
+    return F.pmod(mixed * mixed + mixed * F.lit(7919), F.lit(PRIME))
+
+
+def draw(seed: int, *keys: str | Column) -> Column:
+    """A number in [0, 1) from integers."""
+    return whole_draw(seed, *keys).cast("double") / F.lit(float(PRIME))
 
 
 def move_boxes(df: DataFrame, low: float, high: float, width: float, height: float, seed: int = 26) -> DataFrame:

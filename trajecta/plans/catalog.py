@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trajecta.functions import geometry as G
-from trajecta.operators import affinity, assignment, descriptors, epipolar, evaluate, flow, kalman, lineage, matrices, pairs, tracker, transforms, warp
+from trajecta.operators import affinity, assignment, descriptors, epipolar, evaluate, flow, kalman, lineage, matrices, pairs, tracker, training, transforms, warp
 from trajecta.sources import fixture, mot, npy
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -786,9 +786,10 @@ def track_age(spark, sf):
     return d.select("seq_id", F.col("obj_id").alias("track_id"), "frame", (F.col("frame") - F.coalesce(before, F.col("frame"))).alias("age"))
 
 
-@query("SELECT e.range::INT AS epoch, round(0.01::DOUBLE * pow(0.1::DOUBLE, (range >= 50)::INT + (range >= 80)::INT + (range >= 100)::INT), 9) AS rate FROM range(0, 120) e", head="")
+@query("SELECT frame AS epoch, round(0.01::DOUBLE * pow(0.1::DOUBLE, (frame >= 50)::INT + (frame >= 80)::INT + (frame >= 100)::INT), 9) AS rate FROM gt GROUP BY frame")
 def lr_schedule(spark, sf):
-    e = spark.range(120).select(F.col("id").cast("int").alias("epoch"))
+    """Rates of as many epochs as the ground truth has frames."""
+    e = gt(spark, sf).select(F.col("frame").alias("epoch")).distinct()
     return e.select("epoch", r6(transforms.step_rate(F.col("epoch"), 0.01, [50, 80, 100], 0.1), "rate", 9))
 
 
@@ -873,6 +874,84 @@ def mirror_boxes(spark, sf):
     return transforms.mirror(_corners(spark, sf), WIDTH).select("seq_id", "frame", "det_idx", "x1", "y1", "x2", "y2")
 
 
+def _number(seed: int, *keys: str) -> str:
+    total = " + ".join([str(seed * 2_654_435_761 % transforms.PRIME)] + [f"({k})::BIGINT * {f}" for k, f in zip(keys, transforms.FACTORS, strict=False)])
+    m = f"(({total}) % {transforms.PRIME})"
+    return f"(({m} * {m} + {m} * 7919) % {transforms.PRIME})"
+
+
+def _unit(seed: int, *keys: str) -> str:
+    return f"({_number(seed, *keys)}::DOUBLE / {float(transforms.PRIME)}::DOUBLE)"
+
+
+def _either(seed: int) -> str:
+    """A shift of a box's side, drawn for each side of the pair by its own seed."""
+    one = lambda k: f"(0.2::DOUBLE * {_unit(seed + k, 'seq_id', 'frame', 'obj_id')}) * CASE WHEN {_unit(seed + k + 1, 'seq_id', 'frame', 'obj_id')} < 0.5 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END"
+    return f"(CASE WHEN side = 'pre' THEN {one(0)} ELSE {one(10)} END)"
+
+
+_SF = ("seq_id", "frame")
+_PAIRS = f"""@t AS MATERIALIZED (SELECT seq_id, obj_id, frame, x AS x1, y AS y1, x + w AS x2, y + h AS y2, coalesce(lead(frame) OVER (PARTITION BY seq_id, obj_id ORDER BY frame), -1) AS nf FROM gt WHERE active = 1 AND visibility > 0.3), tf AS (SELECT DISTINCT seq_id, frame AS at FROM t),
+tq AS (SELECT seq_id, frame, list_max(after) AS farthest, {_DRAW.format(k=1)} % 2 = 0 AS far, len(after) AS n, after[{_DRAW.format(k=3)} % len(after) + 1] AS pick FROM (SELECT seq_id, frame, list_sort(list(nf)) AS after FROM t WHERE nf > 0 GROUP BY ALL)),
+tc AS (SELECT q.seq_id, q.frame, list_sort(list(f.at)) AS open FROM tq q JOIN tf f ON f.seq_id = q.seq_id AND f.at >= q.pick AND f.at <= q.pick + 10 GROUP BY ALL),
+pairs AS MATERIALIZED (SELECT seq_id, frame, CASE WHEN far OR n = 1 THEN farthest ELSE coalesce(open[{_DRAW.format(k=5)} % len(open) + 1], pick) END AS next_frame FROM tq LEFT JOIN tc USING (seq_id, frame))"""
+_CHAIN = f"""{_PAIRS}, c0 AS (SELECT p.seq_id, p.frame, side, obj_id, x1, y1, x2, y2 FROM pairs p, (VALUES ('pre'), ('next')) s(side), t WHERE t.seq_id = p.seq_id AND t.frame = CASE WHEN side = 'pre' THEN p.frame ELSE p.next_frame END),
+c1 AS MATERIALIZED (SELECT seq_id, frame, side, obj_id, greatest(0, least({WIDTH}::DOUBLE, x1 + dx)) AS x1, greatest(0, least({HEIGHT}::DOUBLE, y1 + dy)) AS y1, greatest(0, least({WIDTH}::DOUBLE, x2 + dx)) AS x2, greatest(0, least({HEIGHT}::DOUBLE, y2 + dy)) AS y2
+  FROM (SELECT *, {_either(26)} * (x2 - x1) AS dx, {_either(28)} * (y2 - y1) AS dy FROM c0)),
+im AS (SELECT seq_id, frame, floor({_unit(58, *_SF)} * ({WIDTH}::DOUBLE * r - {WIDTH}::DOUBLE)) AS l, floor({_unit(59, *_SF)} * ({HEIGHT}::DOUBLE * r - {HEIGHT}::DOUBLE)) AS u, floor({WIDTH}::DOUBLE * r) AS width, floor({HEIGHT}::DOUBLE * r) AS height
+  FROM (SELECT seq_id, frame, CASE WHEN {_unit(56, *_SF)} < 0.5 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE + 0.2::DOUBLE * {_unit(57, *_SF)} END AS r FROM pairs)),
+c2 AS MATERIALIZED (SELECT c.seq_id, c.frame, side, obj_id, x1 + l AS x1, y1 + u AS y1, x2 + l AS x2, y2 + u AS y2 FROM c1 c JOIN im USING (seq_id, frame)),
+tr AS MATERIALIZED (SELECT seq_id, frame, t, whole, ch / cw AS aspect, floor(l) AS wl, floor(u) AS wt, floor(l + cw) AS wr, floor(u + ch) AS wb FROM (SELECT *, {_unit(69, *_SF, 't')} * (width - cw) AS l, {_unit(70, *_SF, 't')} * (height - ch) AS u
+  FROM (SELECT seq_id, frame, width, height, t, floor({_unit(66, *_SF, 't // 50')} * 6) = 0 AS whole, (0.8::DOUBLE + 0.2::DOUBLE * {_unit(67, *_SF, 't')}) * width AS cw, (0.8::DOUBLE + 0.2::DOUBLE * {_unit(68, *_SF, 't')}) * height AS ch FROM im, range(400) r(t)))),
+ok AS (SELECT tr.seq_id, tr.frame, t FROM tr LEFT JOIN c2 ON c2.seq_id = tr.seq_id AND c2.frame = tr.frame GROUP BY tr.seq_id, tr.frame, t, whole, aspect
+  HAVING whole OR (aspect BETWEEN 0.5 AND 2 AND count(DISTINCT CASE WHEN (x1 + x2) / 2 > wl AND (x1 + x2) / 2 < wr AND (y1 + y2) / 2 > wt AND (y1 + y2) / 2 < wb THEN side END) = 2)),
+vw AS MATERIALIZED (SELECT tr.* FROM tr JOIN (SELECT seq_id, frame, min(t) AS t FROM ok GROUP BY ALL) USING (seq_id, frame, t) WHERE NOT whole),
+c3 AS (SELECT c.seq_id, c.frame, side, obj_id, least(greatest(x1, wl), wr) - wl AS x1, least(greatest(y1, wt), wb) - wt AS y1, least(greatest(x2, wl), wr) - wl AS x2, least(greatest(y2, wt), wb) - wt AS y2, wr - wl AS width, wb - wt AS height
+  FROM c2 c JOIN vw USING (seq_id, frame) WHERE (x1 + x2) / 2 > wl AND (x1 + x2) / 2 < wr AND (y1 + y2) / 2 > wt AND (y1 + y2) / 2 < wb
+  UNION ALL SELECT c.seq_id, c.frame, side, obj_id, x1, y1, x2, y2, width, height FROM c2 c JOIN im USING (seq_id, frame) WHERE NOT EXISTS (SELECT 1 FROM vw WHERE vw.seq_id = c.seq_id AND vw.frame = c.frame)),
+c4 AS MATERIALIZED (SELECT seq_id, frame, side, obj_id, CASE WHEN m THEN width - x2 ELSE x1 END / width AS x1, y1 / height AS y1, CASE WHEN m THEN width - x1 ELSE x2 END / width AS x2, y2 / height AS y2 FROM (SELECT *, {_unit(76, *_SF)} < 0.5 AS m FROM c3))"""
+_SLOTS = f"""{_CHAIN}, sb AS (SELECT *, row_number() OVER (PARTITION BY seq_id, frame, side ORDER BY obj_id, x1, y1, x2, y2) - 1 AS i FROM c4),
+sl AS MATERIALIZED (SELECT seq_id, frame, side, i, row_number() OVER (PARTITION BY seq_id, frame, side ORDER BY CASE WHEN side = 'pre' THEN {_number(86, *_SF, 'i')} ELSE {_number(87, *_SF, 'i')} END, i) - 1 AS slot FROM pairs, (VALUES ('pre'), ('next')) s(side), range(80) r(i)),
+sx AS MATERIALIZED (SELECT seq_id, frame, side, slot, obj_id, x1, y1, x2, y2 FROM sl LEFT JOIN sb USING (seq_id, frame, side, i))"""
+
+
+def _samples(spark, sf):
+    """Pairs of frames with all boxes that may be trained on, after the chain of training."""
+    boxes = mot.next_frames(gt(spark, sf), 0.3)
+    return training.samples(mot.sampled_pairs(boxes, 0, 10), boxes, WIDTH, HEIGHT).transform(training.chain("train", 0.0, 0.2, 1.2, 26))
+
+
+@query(f"{_CHAIN} SELECT seq_id, frame, side, obj_id, round(x1, 6) + 0.0 AS x1, round(y1, 6) + 0.0 AS y1, round(x2, 6) + 0.0 AS x2, round(y2, 6) + 0.0 AS y2 FROM c4")
+def drawn_samples(spark, sf):
+    both = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("b")) for s in training.SIDES]))
+    boxes = _samples(spark, sf).select("seq_id", "frame", both.alias("e")).select("seq_id", "frame", "e.side", F.explode("e.b").alias("b"))
+    return boxes.select("seq_id", "frame", "side", "b.obj_id", *[r6(F.col(f"b.{c}"), c) for c in training.CORNERS])
+
+
+@query(f"{_SLOTS} SELECT seq_id, frame, side, slot::INT AS slot, coalesce(obj_id, -1) AS obj_id, (obj_id IS NOT NULL)::INT AS present, round(coalesce(x1 + x2 - 1, 1.5), 6) + 0.0 AS cx, round(coalesce(y1 + y2 - 1, 1.5), 6) + 0.0 AS cy FROM sx")
+def training_slots(spark, sf):
+    rows = training.slot_rows(training.slotted(_samples(spark, sf), 80, 86))
+    return rows.select("seq_id", "frame", "side", "slot", F.coalesce("obj_id", F.lit(-1)).alias("obj_id"), "present", r6(F.col("cx"), "cx"), r6(F.col("cy"), "cy"))
+
+
+@query(f"""{_SLOTS}, sa AS (SELECT * FROM sx WHERE side = 'pre' AND obj_id IS NOT NULL), sn AS (SELECT * FROM sx WHERE side = 'next' AND obj_id IS NOT NULL)
+SELECT coalesce(sa.seq_id, sn.seq_id) AS seq_id, coalesce(sa.frame, sn.frame) AS frame, coalesce(sa.slot, 80)::INT AS row, coalesce(sn.slot, 80)::INT AS col FROM sa FULL JOIN sn ON sa.seq_id = sn.seq_id AND sa.frame = sn.frame AND sa.obj_id = sn.obj_id""")
+def training_labels(spark, sf):
+    return training.label_rows(training.slotted(_samples(spark, sf), 80, 86))
+
+
+@query(f"""@t AS (SELECT seq_id, frame, coalesce(lead(frame) OVER (PARTITION BY seq_id, obj_id ORDER BY frame), -1) AS nf FROM gt WHERE active = 1 AND visibility > 0.6),
+ri AS MATERIALIZED (SELECT DISTINCT seq_id::BIGINT * 1000 + frame AS item FROM gt), rf AS MATERIALIZED (SELECT DISTINCT seq_id::BIGINT * 1000 + frame AS item FROM t WHERE nf > 0),
+re AS (SELECT item FROM ri WHERE item NOT IN (SELECT item FROM rf)),
+rw AS (SELECT item, r AS rank, item + {_number(26, 'item', 'r')} % 11 - 5 AS at FROM re, range(20) k(r) UNION ALL SELECT item, r + 20, item + CASE WHEN r % 2 = 1 THEN -((r + 1) // 2) ELSE r // 2 END FROM re, range(1, 11) k(r))
+SELECT item, item AS taken FROM rf WHERE item IN (SELECT item FROM ri) UNION ALL SELECT rw.item, arg_min(rw.at, rank) FROM rw JOIN rf ON rf.item = rw.at GROUP BY rw.item""")
+def redrawn_items(spark, sf):
+    """Frames without a box that is seen again are replaced by frames nearby that have one."""
+    item = (F.col("seq_id").cast("bigint") * 1000 + F.col("frame")).alias("item")
+    filled = mot.next_frames(gt(spark, sf), 0.6).where("next_frame > 0").select(item)
+    return training.redrawn(gt(spark, sf).select(item), filled, 5, 20, 26)
+
+
 @query("""@g AS (SELECT * FROM gt WHERE active = 1 AND visibility > 0.3) SELECT seq_id, frame, obj_id, (NOT EXISTS (SELECT 1 FROM g n WHERE n.seq_id = g.seq_id AND n.obj_id = g.obj_id AND n.frame = g.frame + 1))::INT AS unmatched FROM g""")
 def unmatched_labels(spark, sf):
     g = gt(spark, sf).where("active = 1 AND visibility > 0.3").select("seq_id", "frame", "obj_id")
