@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajecta.llm.common import BYTES_PER_STEP, arrow_map, as_bytes, steps
+from trajecta.llm.common import BYTES_PER_STEP, KEPT, arrow_map, as_bytes, steps
 
 VOCABULARY = "word_bpe_49k.json"
 #: Entries of the broadcast table, and of one task's summary for it.
 FREQUENT, SUMMARY = 16_384, 8_192
-#: Entries of a worker's cache of chunks.
+#: Entries of a worker's cache of chunks; each has ``KEPT`` bytes at most.
 CACHED = 400_000
 #: Hard chunks in one call of the library.
 _JOINED = 200
@@ -163,7 +163,7 @@ class ChunkEncoder:
             edge = [-1, *np.flatnonzero(ids == cut).tolist(), len(ids)]
             assert len(edge) == len(group) + 1
             for n, k in enumerate(group):
-                self.chunks[listed[k]] = ids[edge[n] + 1 : edge[n + 1]]
+                self.chunks[listed[k]] = ids[edge[n] + 1 : edge[n + 1]].copy()  # a view would keep the others' ids too
         for k in sorted(set(range(len(texts))).difference(joined)):
             self.chunks[listed[k]] = np.array(self.tok.encode(texts[k], add_special_tokens=False).ids, self.dtype)
 
@@ -220,6 +220,9 @@ class ChunkEncoder:
                 self.learn(missing)
             index = {c: k for k, c in enumerate(every)}
             each = [self.chunks[c] for c in index]
+            for c in missing:
+                if len(c) > KEPT:
+                    del self.chunks[c]
             size = np.fromiter(map(len, each), np.int64, len(each))
             at = np.concatenate([at, len(count) + np.fromiter(map(index.__getitem__, listed), np.int64, len(listed))])
             begin = np.concatenate([begin, len(ids) + np.cumsum(size) - size])
@@ -291,14 +294,18 @@ def _merge(a: bytes, b: bytes) -> bytes:
 
 def frequent_chunks(docs: DataFrame, entries: int = FREQUENT) -> list[bytes]:
     """The corpus's frequent chunks, from all texts: every task sums up its own chunks in a
-    bounded summary, and summaries are merged by a tree, so the driver gets one of them."""
+    bounded summary, and summaries are merged by a tree, so the driver gets one of them. Chunks
+    over ``KEPT`` bytes are left out, so summaries and the broadcast are bounded in bytes."""
     import pickle
 
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         seen: Counter = Counter()
         for b in batches:
             for t in b.column("text").to_pylist():
-                seen.update(t.split())
+                chunks = t.split()
+                if max(map(len, chunks), default=0) > KEPT:  # long ones are misses wherever they occur
+                    chunks = [c for c in chunks if len(c) <= KEPT]
+                seen.update(chunks)
                 if len(seen) > 40 * SUMMARY:
                     seen = Counter(dict(seen.most_common(10 * SUMMARY)))
         yield {"part": [pickle.dumps(dict(seen.most_common(SUMMARY)))]}
@@ -333,6 +340,9 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = 204
                 for k, m in steps(listed):
                     cache.update(zip(listed[k:m], own.counts(listed[k:m]).tolist(), strict=True))
                 n_tokens += [sum(map(cache.__getitem__, chunks)) for chunks in split]
+                for c in listed:
+                    if len(c) > KEPT:
+                        del cache[c]
             yield {"doc_id": ids, "n_bytes": [len(t) for t in texts], "n_tokens": n_tokens, "over_limit": [n > limit for n in n_tokens]}
 
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes().alias("text")), count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 
 #: Python workers receive at most this many rows, and about this many bytes, at once.
 ROWS_PER_BATCH, BYTES_PER_BATCH = 1024, 1 << 22
+#: Longest key (bytes, or characters of a string) that a worker's cache keeps beyond the step that
+#: needs it: text without blanks is one key of any length, so entries alone bound nothing.
+KEPT = 64
 #: Vectorised code handles about this many bytes of text at once.
 BYTES_PER_STEP = 1 << 21
 _WRITTEN: list[str] = []

@@ -35,12 +35,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajecta.llm.bpe import place
-from trajecta.llm.common import arrow_map, saved, table
+from trajecta.llm.common import KEPT, arrow_map, saved, table
 
 MODEL = "piece_bpe_32k.model"
 #: Characters of a text that is cut, and of a chunk.
 GIANT, CHUNK = 1 << 15, 1 << 14
-#: Words in a worker's cache (about 200 bytes each).
+#: Characters that a chunk sees of its neighbours; no piece may be longer.
+MARGIN = 64
+#: Words in a worker's cache, each of ``KEPT`` characters at most (about 200 bytes each).
 CACHED = 150_000
 BLANK = "▁"
 
@@ -58,6 +60,8 @@ class Pieces:
         self.text = text
         self.ids = {t: i for i, t in enumerate(text) if i not in special}
         self.longest = max(map(len, self.ids))
+        if self.longest > MARGIN:
+            raise ValueError(f"a piece of {self.longest} characters is longer than a chunk's margin of {MARGIN}")
         self.bytes = {int(text[i][3:5], 16): i for i in range(n) if self.sp.is_byte(i)}
         self.raw = [bytes([int(t[3:5], 16)]) if self.sp.is_byte(i) else b"" if self.sp.is_control(i) else t.replace(BLANK, " ").encode() for i, t in enumerate(text)]
         if any(BLANK in t.lstrip(BLANK) for t in self.ids):
@@ -135,6 +139,9 @@ def plain_ids(texts: list[str], name: str) -> list[bytes]:
             missing = set().union(*split)
         p.encode_words(list(missing))
         out += [b"".join(map(p.words.__getitem__, w)) for w in split]
+        for w in missing:
+            if len(w) > KEPT:
+                del p.words[w]
     return out
 
 
@@ -309,14 +316,13 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
 def _giant(giant: DataFrame, model: str) -> DataFrame:
     # Each chunk is a row with a margin on both sides, so that tasks share a document's work.
     text = F.concat(F.lit(BLANK), F.translate("text", " ", BLANK))
-    margin = 64
     begin = F.explode(F.sequence(F.lit(0), F.length("text"), F.lit(CHUNK))).alias("a")
     cut = giant.select("doc_id", F.expr("uuid()").alias("rid"), text.alias("text"))
     cut = saved(cut, "giant")  # the ids of rows must not change when a task runs again
     chunks = cut.select("doc_id", "rid", F.length("text").alias("n"), "text", begin).where("a < n")
-    low = F.greatest(F.col("a") - margin, F.lit(0))
+    low = F.greatest(F.col("a") - MARGIN, F.lit(0))
     high = F.least(F.col("a") + CHUNK, F.col("n"))
-    chunks = chunks.select("doc_id", "rid", "a", low.alias("low"), high.alias("b"), "n", F.col("text").substr(low + 1, high - low + margin).alias("part"))
+    chunks = chunks.select("doc_id", "rid", "a", low.alias("low"), high.alias("b"), "n", F.col("text").substr(low + 1, high - low + MARGIN).alias("part"))
     chunks = saved(chunks.repartition("rid", "a"), "chunks", 32)
 
     def states(p: Pieces, part: str, low: int, at: int, n: int) -> list:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajecta.llm.common import arrow_map, as_bytes, configure, crc_mod, table
+from trajecta.llm.common import KEPT, arrow_map, as_bytes, configure, crc_mod, table
 
 #: Labelled rows that the fit takes at most, spread evenly over all of them by a hash.
 MOST_ROWS = 8_000
@@ -39,7 +39,7 @@ _INNER = re.compile(r"[^\W\d_][0-9@$!*#]+[^\W_]")
 _STRETCH = re.compile(r"([^\W\d_])\1\1")
 _APART = re.compile(r"[^\W\d_](?:[.\-_*][^\W\d_]){2,}\W?")
 _SEPARATED = re.compile(r"[.\-_*'’]")
-#: Entries of a worker's cache of words (about 150 bytes each).
+#: Entries of a worker's cache of words, each of ``KEPT`` bytes at most (about 150 bytes each).
 CACHED = 150_000
 
 
@@ -60,7 +60,9 @@ class Words(dict):
     def __missing__(self, chunk: bytes) -> str:
         if len(self) > CACHED:
             self.clear()
-        self[chunk] = w = word(chunk)
+        w = word(chunk)
+        if len(chunk) <= KEPT:
+            self[chunk] = w
         return w
 
 
@@ -79,7 +81,8 @@ class Kinds(dict):
         if bare.isalpha() and len(bare) > 1:  # most words: only letters
             w = bare.lower()
             if w not in lex.words and w[: STEMS[0]] not in self.begins and w not in SECOND_PERSON and not _STRETCH.search(w):
-                self[chunk] = 0
+                if len(chunk) <= KEPT:
+                    self[chunk] = 0
                 return 0
         w, weight = word(chunk), 0.0
         for x in {w, plain(w)}:
@@ -92,7 +95,9 @@ class Kinds(dict):
                 self.clear()
             self.rows[row] = len(self.rows)
             self.table = np.array(list(self.rows))
-        self[chunk] = k = self.rows[row]
+        k = self.rows[row]
+        if len(chunk) <= KEPT:
+            self[chunk] = k
         return k
 
 
