@@ -144,10 +144,11 @@ def chain(kind: str, low: float = 0.0, high: float = 0.2, most: float = 1.2, see
 # ---- slots ------------------------------------------------------------------------------
 
 
-def slotted(df: DataFrame, slots: int, seed: int) -> DataFrame:
+def slotted(df: DataFrame, slots: int, seed: int, grow: bool = True) -> DataFrame:
     """``pre`` and ``next`` padded to ``slots`` places (null: no box) and shuffled. A sample with
-    more boxes than places has as many places as boxes."""
-    n = F.greatest(F.lit(slots), F.size("pre"), F.size("next"))
+    more boxes than places has as many places as boxes; without ``grow`` there are ``slots``
+    places, and the first boxes (in order of obj_id) get one."""
+    n = F.greatest(F.lit(slots), F.size("pre"), F.size("next")) if grow else F.lit(slots)
 
     def shuffled(k: int, side: str) -> Column:
         at = F.sequence(F.lit(0), n - 1)
