@@ -2,7 +2,8 @@
 
 Descriptors at most ``radius`` bits apart agree in at least one of radius + 1 blocks of bits, so
 candidates come from equality joins on (frame, block, bits); no frame lists all its pairs. The
-distance is counted in the JVM. Matches are mutual nearest ones (a tie goes to the smaller
+distance is counted in the JVM. The join is a merge: blocks make many rows of one, which the
+planner's estimate of sizes does not see, so that it would send all of them through the driver. Matches are mutual nearest ones (a tie goes to the smaller
 number), nearest first, ``top`` a frame. A nearest neighbour within the radius is found for
 certain, so within it the matches are those of all pairs."""
 
@@ -33,7 +34,7 @@ def matches(a: DataFrame, b: DataFrame, keys: list[str], radius: int = 32, top:
     """a, b: keys, idx, words (array of four longs) -> keys, a_idx, b_idx, distance, rank."""
     word = lambda p: [F.col(f"{p}_{w}") for w in range(WORDS)]
     side = lambda df, p: df.select(*keys, F.col("idx").alias(f"{p}_idx"), *[F.get("words", F.lit(w)).alias(f"{p}_{w}") for w in range(WORDS)], F.posexplode(blocks(F.col("words"), radius)).alias("block", "bits"))
-    met = side(a, "a").join(side(b, "b"), [*keys, "block", "bits"])
+    met = side(a, "a").join(side(b, "b").hint("merge"), [*keys, "block", "bits"])
     near = met.select(*keys, "a_idx", "b_idx", hamming(word("a"), word("b")).alias("distance")).where(F.col("distance") <= radius).distinct()
     forth = F.row_number().over(Window.partitionBy(*keys, "a_idx").orderBy("distance", "b_idx"))
     back = F.row_number().over(Window.partitionBy(*keys, "b_idx").orderBy("distance", "a_idx"))
