@@ -15,11 +15,16 @@ def _scaled(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.c_[p, np.ones(len(p))] @ t.T, t
 
 
+#: Distances of points that are judged at once (a few times 8 bytes each).
+_AT_ONCE = 1 << 20
+
+
 def eight_points(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """F with b^T F a = 0 for matched points (n, 2), n >= 8."""
     (pa, ta), (pb, tb) = _scaled(a), _scaled(b)
     rows = np.einsum("ni,nj->nij", pb, pa).reshape(len(a), 9)
-    f = np.linalg.svd(rows)[2][-1].reshape(3, 3)
+    # the left vectors would be a square of the matches; of eight rows the ninth right one is needed
+    f = np.linalg.svd(rows, full_matrices=len(rows) < 9)[2][-1].reshape(3, 3)
     u, s, v = np.linalg.svd(f)
     f = tb.T @ (u @ np.diag([s[0], s[1], 0.0]) @ v) @ ta
     return f / max(np.linalg.norm(f), 1e-300)
@@ -46,15 +51,19 @@ def _sampled(a: np.ndarray, b: np.ndarray, picks: np.ndarray) -> np.ndarray:
 
 def ransac(a: np.ndarray, b: np.ndarray, within: float = 1.0, draws: int = 200, seed: int = 26) -> tuple[np.ndarray, np.ndarray]:
     """The matrix with most inliers over seeded draws of eight matches (the first of equal ones),
-    fitted again to those; all draws are solved and judged together."""
-    random = np.random.default_rng(seed).random((draws, len(a)))
-    f = _sampled(a, b, np.argpartition(random, 7, axis=1)[:, :8] if len(a) > 8 else np.tile(np.arange(8), (1, 1)))
+    fitted again to those; draws are solved and judged together, as many as ``_AT_ONCE`` allows."""
+    random = np.random.default_rng(seed)
     pa, pb = np.c_[a, np.ones(len(a))], np.c_[b, np.ones(len(b))]
-    la, lb = np.einsum("ni,kij->knj", pb, f), np.einsum("ni,kji->knj", pa, f)
-    e = np.abs(np.einsum("ni,kni->kn", pb, lb))
-    far = np.maximum(e / np.maximum(np.hypot(la[..., 0], la[..., 1]), 1e-12), e / np.maximum(np.hypot(lb[..., 0], lb[..., 1]), 1e-12))
-    inside = far <= within
-    best = inside[inside.sum(1).argmax()]
+    each, best = max(1, _AT_ONCE // len(a)), np.zeros(len(a), bool)
+    for k in range(0, draws if len(a) > 8 else 1, each):
+        f = _sampled(a, b, np.argpartition(random.random((min(each, draws - k), len(a))), 7, axis=1)[:, :8] if len(a) > 8 else np.tile(np.arange(8), (1, 1)))
+        la, lb = np.einsum("ni,kij->knj", pb, f), np.einsum("ni,kji->knj", pa, f)
+        e = np.abs(np.einsum("ni,kni->kn", pb, lb))
+        far = np.maximum(e / np.maximum(np.hypot(la[..., 0], la[..., 1]), 1e-12), e / np.maximum(np.hypot(lb[..., 0], lb[..., 1]), 1e-12))
+        inside = far <= within
+        top = inside.sum(1).argmax()
+        if inside[top].sum() > best.sum():
+            best = inside[top]
     if best.sum() < 8:
         best = np.ones(len(a), bool)
     return eight_points(a[best], b[best]), best
