@@ -7,10 +7,14 @@ again in every cell that uses them; expressions grow with the cube of the state'
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 MATRIX = "array<array<double>>"
 Grid = list[list[Column]]
@@ -187,3 +191,76 @@ def smoothed(steps: DataFrame, keys: list[str], order: str, n: int) -> DataFrame
     begin = F.struct(none.cast("array<double>").alias("x"), none.cast(MATRIX).alias("p"), none.cast(MATRIX).alias("f"), none.cast(MATRIX).alias("q"), F.array().cast(kept).alias("out"))
     folded = F.aggregate(F.reverse("steps"), begin, back, lambda acc: acc["out"])
     return steps.select(*keys, F.explode(folded).alias("e")).select(*keys, "e.*")
+
+
+#: Rows of whole keys that a task filters and smooths together.
+_AT_ONCE = 1 << 14
+
+
+def smoothed_means(rows: DataFrame, keys: list[str], order: str, n: int, m: int) -> DataFrame:
+    """keys, order, x: what :func:`smoothed` makes of :func:`filtered` with a measurement at every
+    step, for ``rows`` that are already dealt to the tasks by their keys. A task works through
+    its keys in order, many at a time: step k of all of them is one product of stacked matrices.
+    It holds ``_AT_ONCE`` rows and the rows of one key."""
+    parts = ("z", "f", "q", "h", "r", "x0", "p0")
+    shapes = {"z": (m, 1), "f": (n, n), "q": (n, n), "h": (m, n), "r": (m, m), "x0": (n, 1), "p0": (n, n)}
+    schema = T.StructType([*[rows.schema[c] for c in (*keys, order)], T.StructField("x", T.ArrayType(T.DoubleType()))])
+    types = to_arrow_schema(schema)
+
+    def solved(t: pa.Table, begin: np.ndarray) -> pa.RecordBatch:
+        size = np.diff(np.append(begin, len(t)))
+        cells = {}
+        for c in parts:
+            col = t.column(c).combine_chunks()
+            while pa.types.is_list(col.type):
+                col = col.flatten()
+            cells[c] = col.to_numpy(zero_copy_only=False).astype(float).reshape(-1, *shapes[c])
+        z, f, q, h, r = (cells[c] for c in parts[:5])
+        turn = lambda a: a.transpose(0, 2, 1)
+        longest = np.argsort(-size, kind="stable")
+        begin, size = begin[longest], size[longest]
+        running = [int(np.searchsorted(-size, -k, side="left")) for k in range(int(size[0]) + 1)]  # keys with more than k steps
+        x, p, before = np.zeros((len(t), n, 1)), np.zeros((len(t), n, n)), np.zeros((len(t), n, n))
+        now_x, now_p, one = cells["x0"][begin], cells["p0"][begin], np.eye(n)
+        for k in range(int(size[0])):
+            at = begin[: running[k]] + k
+            fk, hk = f[at], h[at]
+            now_x, now_p = fk @ now_x[: len(at)], fk @ now_p[: len(at)] @ turn(fk) + q[at]
+            before[at] = now_p
+            cross = now_p @ turn(hk)
+            gain = cross @ np.linalg.inv(hk @ cross + r[at])
+            keep = one - gain @ hk
+            now_x = now_x + gain @ (z[at] - hk @ now_x)
+            now_p = keep @ now_p @ turn(keep) + gain @ r[at] @ turn(gain)
+            x[at], p[at] = now_x, now_p
+        for k in range(int(size[0]) - 2, -1, -1):
+            at = begin[: running[k + 1]] + k
+            fk = f[at + 1]
+            gain = p[at] @ turn(fk) @ np.linalg.inv(before[at + 1])
+            x[at] += gain @ (x[at + 1] - fk @ x[at])
+        means = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), n).cast(types.field("x").type)
+        return pa.RecordBatch.from_arrays([*[t.column(c).combine_chunks() for c in (*keys, order)], means], schema=types)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def whole(last: bool) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            held.clear()
+            ids = np.stack([t.column(c).to_numpy() for c in keys], 1)
+            begin = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]).any(1)]))
+            end = len(t) if last else int(begin[-1])
+            if end < len(t):
+                held.extend(t.slice(end).to_batches())
+            if end:
+                yield solved(t.slice(0, end), begin[begin < end])
+
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+            if sum(x.num_rows for x in held) >= _AT_ONCE:
+                yield from whole(False)
+        if held:
+            yield from whole(True)
+
+    return rows.select(*keys, order, *parts).sortWithinPartitions(*keys, order, "z").mapInArrow(run, schema)
