@@ -25,6 +25,13 @@ it differs in few single words: fingerprints of the *set of words* are mostly wi
 (of the set, because repeated common words would give long texts of a language one and the
 same fingerprint). So candidates are the links of three such fingerprints, by the same ball
 hashing, and each is verified by the exact similarity of the sets of five-word shingles.
+
+Where many meet (more than ``FEW`` contents of one fingerprint, or more than ``FEW`` pairs of two
+linked ones, or more than ``FEW`` fingerprints at one point), the first pass compares with the
+smallest one only. The contents that this leaves unsure are compared exactly afterwards, by
+prefixes: of two sets that agree to 0.8, the rarest 0.2 of the one's shingles hold one of the
+other's rarest. Pairs that share such a shingle and are not in one group yet are verified, all
+of them.
 """
 
 from __future__ import annotations
@@ -104,6 +111,11 @@ def _masks(radius: int) -> list[tuple[int, int, list[int]]]:
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """fps(fp), distinct -> (a, b), a < b: enough verified links for the same components as
     all pairs within ``radius`` bits have."""
+    return _links(fps, radius)[0]
+
+
+def _links(fps: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """``links``, and the fingerprints (fp) of which some pairs are joined by others only."""
     masks = _masks(radius)
     emitted = None
     for which, (gap, _, flips) in enumerate(masks):
@@ -194,10 +206,11 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
                 yield {"a": found[:, 0], "b": found[:, 1]}
 
     long = resolved.where("which >= 0").distinct()
+    crowded = long.select("fp").distinct()
     if long.isEmpty():
-        return pairs
+        return pairs, crowded
     ball = arrow_map(long, points, "point long, fp long").repartition("point").sortWithinPartitions("point", "fp")
-    return pairs.unionByName(saved(arrow_map(ball, stars, "a long, b long"), "stars", 1 << 15).distinct())
+    return pairs.unionByName(saved(arrow_map(ball, stars, "a long, b long"), "stars", 1 << 15).distinct()), crowded
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
@@ -275,11 +288,15 @@ def _agreement(a: bytes, b: bytes) -> float:
 
 
 def _candidates(contents: DataFrame, of: str, radius: int) -> DataFrame:
-    """contents(content, ...) -> (a, b): pairs of contents whose fingerprints ``of`` are within
+    return _asked(contents, of, radius)[0]
+
+
+def _asked(contents: DataFrame, of: str, radius: int) -> tuple[DataFrame, DataFrame]:
+    """contents(content, ...) -> (a, b), and (content) whose pairs are not all among them: pairs of contents whose fingerprints ``of`` are within
     ``radius`` bits by the links found. Similarity is judged pair by pair, so it is no matter of
     the classes' heads: up to ``FEW`` contents of one fingerprint meet each other, and so do the
     contents of two linked ones if that makes no more than ``FEW`` pairs. In larger classes, all
-    meet the smallest content of theirs, and smallest ones meet."""
+    meet the smallest content of theirs, and smallest ones meet; they are left to ``_rest``."""
     named = contents.select("content", F.col(of).alias("fp"))
     classes = named.groupBy("fp").agg(F.min("content").alias("head"), F.count(F.lit(1)).alias("n"))
     own = named.join(classes.where("n > 1").hint("merge"), "fp")
@@ -287,13 +304,47 @@ def _candidates(contents: DataFrame, of: str, radius: int) -> DataFrame:
     small = own.where(F.col("n") <= FEW).groupBy("fp").agg(F.sort_array(F.collect_list("content")).alias("c"))  # at most FEW
     inside = small.select(F.posexplode("c").alias("k", "a"), "c").select("a", F.explode(F.slice("c", F.col("k") + 2, F.lit(FEW))).alias("b"))
     sized = lambda p: classes.select(F.col("fp").alias(p), F.col("head").alias(f"h{p}"), F.col("n").alias(f"n{p}")).hint("merge")
-    across = links(classes.select("fp"), radius).join(sized("a"), "a").join(sized("b"), "b")
+    near, crowded = _links(classes.select("fp"), radius)
+    across = saved(near.join(sized("a"), "a").join(sized("b"), "b"), "across")
     few = F.col("na") * F.col("nb") <= FEW
     heads = across.where((F.col("na") * F.col("nb") == 1) | ~few).select("ha", "hb")
     member = lambda p: named.select(F.col("fp").alias(p), F.col("content").alias(f"h{p}")).hint("merge")
     all_ = across.where(few & (F.col("na") * F.col("nb") > 1)).select("a", "b").join(member("a"), "a").join(member("b"), "b").select("ha", "hb")
     met = heads.unionByName(all_).select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))
-    return large.unionByName(inside).unionByName(met)
+    wide = across.where(~few)
+    unsure = crowded.unionByName(classes.where(F.col("n") > FEW).select("fp")).unionByName(wide.select(F.col("a").alias("fp"))).unionByName(wide.select(F.col("b").alias("fp"))).distinct()
+    return large.unionByName(inside).unionByName(met), named.join(unsure.hint("merge"), "fp").select("content")
+
+
+def _rest(unsure: DataFrame, sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """unsure(content), sets(content, shingles), roots(content, root) -> (a, b): all pairs of
+    unsure contents of different roots that may agree to ``similarity``.
+
+    Shingles are in order of their number among the unsure contents, the rarest first. Of n
+    shingles, all but the first n - similarity * n + 1 are too few for the agreement, so a pair
+    shares one of the first ones of both. Shingles whose contents are of one root join nothing new."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            values = [np.frombuffer(x.as_py(), np.uint32).astype(np.int64) for x in b.column("shingles")]
+            n = np.array([len(v) for v in values], np.int64)
+            yield {"content": b.column("content").take(pa.array(np.repeat(np.arange(len(n)), n))), "n": np.repeat(n, n), "shingle": np.concatenate([*values, np.zeros(0, np.int64)])}
+
+    held = sets.join(unsure.hint("merge"), "content", "left_semi")
+    rows = saved(arrow_map(held, each, "content binary, n long, shingle long"), "shingles")
+    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    order = F.sort_array(F.collect_list(F.struct("often", "shingle")))
+    # shingles of one content only come first and meet nothing, so their number is enough
+    listed = rows.join(often.hint("merge"), "shingle").groupBy("content", "n").agg(order.alias("s"))
+    first = F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - F.lit(1e-6)) + 1 - (F.col("n") - F.size("s"))
+    prefix = listed.where(first > 0).select("content", "n", F.explode(F.slice("s", F.lit(1), first.cast("int"))).alias("s")).select("content", "n", "s.shingle")
+    rooted = prefix.join(roots.hint("merge"), "content", "left").withColumn("root", F.coalesce("root", "content"))
+    mixed = saved(rooted.repartition("shingle"), "prefixes")
+    several = mixed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
+    left = mixed.join(several.hint("merge"), "shingle", "left_semi")
+    side = lambda p: left.select("shingle", F.col("content").alias(p), F.col("root").alias(f"r{p}"), F.col("n").alias(f"n{p}"))
+    met = side("a").join(side("b").hint("merge"), "shingle").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")))
+    return met.where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity) - F.lit(1e-6)).select("a", "b").distinct()
 
 
 def similar_groups(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
@@ -302,10 +353,12 @@ def similar_groups(docs: DataFrame, width: int = SHINGLE, similarity: float = SI
     rows = saved(_word_rows(docs), "words")
     contents = saved(rows.groupBy("content").agg(F.min("doc").alias("doc"), *[F.first(f).alias(f) for f in PRINTS]), "contents")
     asked = contents.select(F.col("content").alias("a"), F.col("content").alias("b")).where("false")
+    unsure = contents.select("content").where("false")
     for f in PRINTS:
-        asked = asked.unionByName(_candidates(contents, f, radius))
-    asked = saved(asked.distinct(), "asked")
-    ends = asked.select(F.col("a").alias("content")).unionByName(asked.select(F.col("b").alias("content"))).distinct()
+        pairs, left = _asked(contents, f, radius)
+        asked, unsure = asked.unionByName(pairs), unsure.unionByName(left)
+    asked, unsure = saved(asked.distinct(), "asked"), saved(unsure.distinct(), "unsure")
+    ends = asked.select(F.col("a").alias("content")).unionByName(asked.select(F.col("b").alias("content"))).unionByName(unsure).distinct()
     # one row of each content, and its text
     first = rows.join(contents.join(ends.hint("merge"), "content").select("content", "doc").hint("merge"), ["content", "doc"]).groupBy("content", "doc").agg(F.min("text_key").alias("text_key"))
 
@@ -321,9 +374,17 @@ def similar_groups(docs: DataFrame, width: int = SHINGLE, similarity: float = SI
             near = [_agreement(x.as_py(), y.as_py()) >= similarity - 1e-9 for x, y in zip(b.column("sa"), b.column("sb"), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    both = asked.join(known.toDF("b", "sb").hint("merge"), "b").join(known.toDF("a", "sa").hint("merge"), "a").select("a", "b", "sa", "sb")
-    found = saved(both.mapInArrow(verified, "a binary, b binary"), "links")
-    return rows.select("doc", "text_key", "content"), components(found).toDF("content", "root")
+    def linked(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(known.toDF("b", "sb").hint("merge"), "b").join(known.toDF("a", "sa").hint("merge"), "a").select("a", "b", "sa", "sb")
+        return saved(both.mapInArrow(verified, "a binary, b binary"), "links")
+
+    found = linked(asked)
+    roots = components(found).toDF("content", "root")
+    if not unsure.isEmpty():
+        more = linked(_rest(unsure, known, roots, similarity))
+        if not more.isEmpty():
+            roots = components(found.unionByName(more)).toDF("content", "root")
+    return rows.select("doc", "text_key", "content"), roots
 
 
 def one_of_each(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
