@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from trajecta.functions.geometry import box, iou
 from trajecta.operators.assignment import optimal
-from trajecta.operators.pairs import same_frame
+from trajecta.operators.pairs import cell_pairs, same_frame
 
 
 def candidates(gt: DataFrame, tracks: DataFrame, cutoff: float = 0.5) -> DataFrame:
     """Pairs of a frame with an IoU distance of at most ``cutoff``: seq_id, frame, obj_id,
-    track_id, distance."""
-    pairs = same_frame(gt.select("seq_id", "frame", "obj_id", "x", "y", "w", "h"), tracks.select("seq_id", "frame", "track_id", "x", "y", "w", "h"))
+    track_id, distance. Below a distance of 1 boxes share area, so a grid gives the pairs."""
+    met = cell_pairs if cutoff < 1 else same_frame
+    pairs = met(gt.select("seq_id", "frame", "obj_id", "x", "y", "w", "h"), tracks.select("seq_id", "frame", "track_id", "x", "y", "w", "h"))
     d = 1 - iou(box("a_"), box("b_"))
     return pairs.withColumn("distance", d).where(F.col("distance") <= cutoff).select("seq_id", "frame", F.col("a_obj_id").alias("obj_id"), F.col("b_track_id").alias("track_id"), "distance")
 
