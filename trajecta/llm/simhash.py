@@ -322,7 +322,9 @@ def _rest(unsure: DataFrame, sets: DataFrame, roots: DataFrame, similarity: floa
 
     Shingles are in order of their number among the unsure contents, the rarest first. Of n
     shingles, all but the first n - similarity * n + 1 are too few for the agreement, so a pair
-    shares one of the first ones of both. Shingles whose contents are of one root join nothing new."""
+    shares one of the first ones of both. The first one that they share leaves at most the
+    shingles after it to agree on, so pairs that meet too late in both orders are left out.
+    Shingles whose contents are of one root join nothing new."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
@@ -337,14 +339,17 @@ def _rest(unsure: DataFrame, sets: DataFrame, roots: DataFrame, similarity: floa
     # shingles of one content only come first and meet nothing, so their number is enough
     listed = rows.join(often.hint("merge"), "shingle").groupBy("content", "n").agg(order.alias("s"))
     first = F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - F.lit(1e-6)) + 1 - (F.col("n") - F.size("s"))
-    prefix = listed.where(first > 0).select("content", "n", F.explode(F.slice("s", F.lit(1), first.cast("int"))).alias("s")).select("content", "n", "s.shingle")
+    prefix = listed.where(first > 0).select("content", "n", (F.col("n") - F.size("s")).alias("alone"), F.posexplode(F.slice("s", F.lit(1), first.cast("int"))).alias("at", "s"))
+    # how many shingles of the content are left from this one on
+    prefix = prefix.select("content", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("left"), "s.shingle")
     rooted = prefix.join(roots.hint("merge"), "content", "left").withColumn("root", F.coalesce("root", "content"))
     mixed = saved(rooted.repartition("shingle"), "prefixes")
     several = mixed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
     left = mixed.join(several.hint("merge"), "shingle", "left_semi")
-    side = lambda p: left.select("shingle", F.col("content").alias(p), F.col("root").alias(f"r{p}"), F.col("n").alias(f"n{p}"))
+    side = lambda p: left.select("shingle", F.col("content").alias(p), F.col("root").alias(f"r{p}"), F.col("n").alias(f"n{p}"), F.col("left").alias(f"l{p}"))
     met = side("a").join(side("b").hint("merge"), "shingle").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")))
-    return met.where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity) - F.lit(1e-6)).select("a", "b").distinct()
+    enough = F.least("la", "lb") >= (F.col("na") + F.col("nb")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6)
+    return met.where((F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity) - F.lit(1e-6)) & enough).select("a", "b").distinct()
 
 
 def similar_groups(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
