@@ -26,12 +26,14 @@ it differs in few single words: fingerprints of the *set of words* are mostly wi
 same fingerprint). So candidates are the links of three such fingerprints, by the same ball
 hashing, and each is verified by the exact similarity of the sets of five-word shingles.
 
-Where many meet (more than ``FEW`` contents of one fingerprint, or more than ``FEW`` pairs of two
-linked ones, or more than ``FEW`` fingerprints at one point), the first pass compares with the
-smallest one only. The contents that this leaves unsure are compared exactly afterwards, by
-prefixes: of two sets that agree to 0.8, the rarest 0.2 of the one's shingles hold one of the
-other's rarest. Pairs that share such a shingle and are not in one group yet are verified, all
-of them.
+Candidates are not listed as pairs, for a family of near copies would make a row for each pair
+of its members. Contents that links of any of the fingerprints chain together are a cluster, and
+all contents of a cluster are compared with each other, exactly, inside the tasks: a cluster is
+dealt into blocks of ``BLOCK`` shingles, two blocks meet in a matrix product that counts common
+shingles, and only as many similar pairs leave the task as join what is similar. A cluster of
+more than ``FEW`` blocks is compared exactly by prefixes: of two sets that agree to 0.8, the
+rarest 0.2 of the one's shingles hold one of the other's rarest. Pairs that share such a shingle
+and are not in one group yet are verified, all of them.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajecta.llm.common import arrow_map, as_bytes, fresh, saved
@@ -52,8 +54,10 @@ from trajecta.llm.components import components
 RADIUS, WIDTH, SEED = 4, 4, 42
 #: Words of a shingle and least similarity of near copies.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Fingerprints of one key whose pairs are verified on the spot.
+#: Fingerprints of one key whose pairs are verified on the spot, and blocks of one cluster.
 FEW = 32
+#: Shingles of a block of a cluster, and those that a matrix has columns for at once.
+BLOCK, _COLUMNS = 1 << 18, 1 << 11
 _BLOCKS = ((0, 22), (22, 21), (43, 21))
 #: Shingles whose bits are summed at once.
 _AT_ONCE = 1 << 14
@@ -108,14 +112,32 @@ def _masks(radius: int) -> list[tuple[int, int, list[int]]]:
     return out
 
 
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """fps(fp), distinct -> (a, b), a < b: enough verified links for the same components as
-    all pairs within ``radius`` bits have."""
-    return _links(fps, radius)[0]
+def _joined(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the smallest one that the links u, v reach."""
+    root = np.arange(n)
+    while True:
+        a, b = root[u], root[v]
+        apart = a != b
+        if not apart.any():
+            return root
+        u, v = u[apart], v[apart]
+        np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+
 
+def _slimmer(pairs: DataFrame) -> DataFrame:
+    """pairs(a, b), a < b -> links with the same components, about one for each node: all smaller
+    ones that a node is linked with are linked with the smallest of them instead, twice."""
+    for _ in range(2):
+        least = pairs.distinct().withColumn("m", F.min("a").over(Window.partitionBy("b")))
+        pairs = least.select(F.col("m").alias("a"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b"))
+    return pairs.distinct()
 
-def _links(fps: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
-    """``links``, and the fingerprints (fp) of which some pairs are joined by others only."""
+
+def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """fps(fp), distinct -> (a, b), a < b: enough links for the same components as all pairs
+    within ``radius`` bits have."""
     masks = _masks(radius)
     emitted = None
     for which, (gap, _, flips) in enumerate(masks):
@@ -163,14 +185,17 @@ def _links(fps: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
             x, y = a[same], a[same + off]
             near = np.bitwise_count((x ^ y).view(np.uint64)) <= radius
             pairs.append(np.stack([x[near], y[near]], 1))
-        if pairs and len(found := np.unique(np.concatenate(pairs), axis=0)):
-            yield {"which": np.full(len(found), -1, np.int32), "key": found.min(1), "fp": found.max(1)}
+        if pairs and len(found := np.concatenate(pairs)):
+            each, at = np.unique(found, return_inverse=True)
+            root = _joined(*at.reshape(-1, 2).T, len(each))
+            more = np.flatnonzero(root != np.arange(len(each)))
+            yield {"which": np.full(len(more), -1, np.int32), "key": each[root[more]], "fp": each[more]}
         long = np.repeat(size > few, size)
         if long.any():
             yield {"which": which[long].astype(np.int32), "key": key[long], "fp": fp[long]}
 
     resolved = saved(arrow_map(met, meet, "which int, key long, fp long"), "met", 1 << 15)
-    pairs = resolved.where("which < 0").select(F.col("key").alias("a"), F.col("fp").alias("b")).distinct()
+    pairs = resolved.where("which < 0").select(F.col("key").alias("a"), F.col("fp").alias("b"))
 
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         """All 64-bit points within half the radius whose two chosen blocks are the key's."""
@@ -206,11 +231,10 @@ def _links(fps: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
                 yield {"a": found[:, 0], "b": found[:, 1]}
 
     long = resolved.where("which >= 0").distinct()
-    crowded = long.select("fp").distinct()
     if long.isEmpty():
-        return pairs, crowded
+        return _slimmer(pairs)
     ball = arrow_map(long, points, "point long, fp long").repartition("point").sortWithinPartitions("point", "fp")
-    return pairs.unionByName(saved(arrow_map(ball, stars, "a long, b long"), "stars", 1 << 15).distinct()), crowded
+    return _slimmer(pairs.unionByName(saved(arrow_map(ball, stars, "a long, b long"), "stars", 1 << 15)))
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
@@ -287,33 +311,76 @@ def _agreement(a: bytes, b: bytes) -> float:
     return both / total if total else 1.0
 
 
-def _candidates(contents: DataFrame, of: str, radius: int) -> DataFrame:
-    return _asked(contents, of, radius)[0]
-
-
-def _asked(contents: DataFrame, of: str, radius: int) -> tuple[DataFrame, DataFrame]:
-    """contents(content, ...) -> (a, b), and (content) whose pairs are not all among them: pairs of contents whose fingerprints ``of`` are within
-    ``radius`` bits by the links found. Similarity is judged pair by pair, so it is no matter of
-    the classes' heads: up to ``FEW`` contents of one fingerprint meet each other, and so do the
-    contents of two linked ones if that makes no more than ``FEW`` pairs. In larger classes, all
-    meet the smallest content of theirs, and smallest ones meet; they are left to ``_rest``."""
+def _chained(contents: DataFrame, of: str, radius: int) -> DataFrame:
+    """contents(content, ...) -> (a, b): enough links to chain all contents whose fingerprints
+    ``of`` are equal or within ``radius`` bits."""
     named = contents.select("content", F.col(of).alias("fp"))
     classes = named.groupBy("fp").agg(F.min("content").alias("head"), F.count(F.lit(1)).alias("n"))
-    own = named.join(classes.where("n > 1").hint("merge"), "fp")
-    large = own.where((F.col("n") > FEW) & (F.col("content") != F.col("head"))).select(F.col("head").alias("a"), F.col("content").alias("b"))
-    small = own.where(F.col("n") <= FEW).groupBy("fp").agg(F.sort_array(F.collect_list("content")).alias("c"))  # at most FEW
-    inside = small.select(F.posexplode("c").alias("k", "a"), "c").select("a", F.explode(F.slice("c", F.col("k") + 2, F.lit(FEW))).alias("b"))
-    sized = lambda p: classes.select(F.col("fp").alias(p), F.col("head").alias(f"h{p}"), F.col("n").alias(f"n{p}")).hint("merge")
-    near, crowded = _links(classes.select("fp"), radius)
-    across = saved(near.join(sized("a"), "a").join(sized("b"), "b"), "across")
-    few = F.col("na") * F.col("nb") <= FEW
-    heads = across.where((F.col("na") * F.col("nb") == 1) | ~few).select("ha", "hb")
-    member = lambda p: named.select(F.col("fp").alias(p), F.col("content").alias(f"h{p}")).hint("merge")
-    all_ = across.where(few & (F.col("na") * F.col("nb") > 1)).select("a", "b").join(member("a"), "a").join(member("b"), "b").select("ha", "hb")
-    met = heads.unionByName(all_).select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))
-    wide = across.where(~few)
-    unsure = crowded.unionByName(classes.where(F.col("n") > FEW).select("fp")).unionByName(wide.select(F.col("a").alias("fp"))).unionByName(wide.select(F.col("b").alias("fp"))).distinct()
-    return large.unionByName(inside).unionByName(met), named.join(unsure.hint("merge"), "fp").select("content")
+    own = named.join(classes.where("n > 1").hint("merge"), "fp").where(F.col("content") != F.col("head")).select(F.col("head").alias("a"), F.col("content").alias("b"))
+    head = lambda p: classes.select(F.col("fp").alias(p), F.col("head").alias(f"h{p}")).hint("merge")
+    across = links(classes.select("fp"), radius).join(head("a"), "a").join(head("b"), "b").select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))
+    return own.unionByName(across)
+
+
+def _similar(x: list[np.ndarray], y: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all pairs of sets of x and y that agree to ``similarity``."""
+    sets = [*x, *y]
+    n = np.array([len(s) for s in sets])
+    value, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = often > 1  # the others are in one set only
+    column = np.cumsum(shared) - 1
+    rows, keep = np.repeat(np.arange(len(sets)), n), shared[at]
+    rows, column = rows[keep], column[at[keep]]
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    both = np.zeros((len(x), len(y)), np.float32)  # whole numbers far below 2^24
+    cuts = np.searchsorted(column, np.arange(0, int(shared.sum()) + _COLUMNS, _COLUMNS))
+    for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        has = np.zeros((len(sets), _COLUMNS), np.float32)
+        has[rows[lo:hi], column[lo:hi] - k * _COLUMNS] = 1
+        both += has[: len(x)] @ has[len(x) :].T
+    total = n[: len(x), None] + n[len(x) :] - both.astype(float)
+    return np.nonzero(np.divide(both, total, out=np.ones(both.shape), where=total > 0) >= similarity - 1e-9)
+
+
+def _inside(dealt: DataFrame, similarity: float) -> DataFrame:
+    """dealt(cluster, block, blocks, content, shingles) -> (a, b): similar contents of a cluster,
+    enough to join all that are similar. Each two blocks of a cluster meet in one group of rows,
+    which goes through the worker as a whole."""
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    met = dealt.select("cluster", "block", other, "content", "shingles").select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "content", "shingles")
+    met = met.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+
+    def group(i: int, j: int, block: list[int], content: list[bytes], raw: list[bytes]) -> dict:
+        sets = [np.frombuffer(s, np.uint32) for s in raw]
+        x, y = (np.array([k for k, b in enumerate(block) if b == at], np.int64) for at in (i, j))
+        u, v = _similar([sets[k] for k in x], [sets[k] for k in y], similarity) if len(x) and len(y) else (x[:0], y[:0])
+        root = _joined(x[u], y[v], len(sets))
+        more = np.flatnonzero(root != np.arange(len(sets)))
+        return {"a": [content[k] for k in root[more]], "b": [content[k] for k in more]}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        last, held = None, ([], [], [])
+        for b in batches:
+            for cluster, i, j, *row in zip(*(b.column(c).to_pylist() for c in ("cluster", "i", "j", "block", "content", "shingles")), strict=True):
+                if (cluster, i, j) != last:
+                    if len(held[0]) > 1:
+                        yield group(*last[1:], *held)
+                    last, held = (cluster, i, j), ([], [], [])
+                for part, value in zip(held, row, strict=True):
+                    part.append(value)
+        if len(held[0]) > 1:
+            yield group(*last[1:], *held)
+
+    return arrow_map(met, run, "a binary, b binary")
+
+
+def _candidates(contents: DataFrame, of: str, radius: int) -> DataFrame:
+    """contents(content, ...) -> (a, b): all pairs that are compared because of the one
+    fingerprint ``of``, a row for each; ``similar_groups`` does not list them."""
+    clusters = components(_chained(contents, of, radius))
+    side = lambda p: clusters.select("root", F.col("node").alias(p))
+    return side("a").join(side("b"), "root").where("a < b").select("a", "b")
 
 
 def _rest(unsure: DataFrame, sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
@@ -352,27 +419,28 @@ def _rest(unsure: DataFrame, sets: DataFrame, roots: DataFrame, similarity: floa
     return met.where((F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity) - F.lit(1e-6)) & enough).select("a", "b").distinct()
 
 
-def similar_groups(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
+def similar_groups(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Rows (doc, text_key, content) of all documents, and (content, root) of the contents that
     have a near copy; see the module's text."""
     rows = saved(_word_rows(docs), "words")
     contents = saved(rows.groupBy("content").agg(F.min("doc").alias("doc"), *[F.first(f).alias(f) for f in PRINTS]), "contents")
-    asked = contents.select(F.col("content").alias("a"), F.col("content").alias("b")).where("false")
-    unsure = contents.select("content").where("false")
-    for f in PRINTS:
-        pairs, left = _asked(contents, f, radius)
-        asked, unsure = asked.unionByName(pairs), unsure.unionByName(left)
-    asked, unsure = saved(asked.distinct(), "asked"), saved(unsure.distinct(), "unsure")
-    ends = asked.select(F.col("a").alias("content")).unionByName(asked.select(F.col("b").alias("content"))).unionByName(unsure).distinct()
+    chains = [_chained(contents, f, radius) for f in PRINTS]
+    clusters = components(chains[0].unionByName(chains[1]).unionByName(chains[2])).toDF("content", "cluster")
     # one row of each content, and its text
-    first = rows.join(contents.join(ends.hint("merge"), "content").select("content", "doc").hint("merge"), ["content", "doc"]).groupBy("content", "doc").agg(F.min("text_key").alias("text_key"))
+    first = rows.join(contents.join(clusters.hint("merge"), "content").select("content", "doc", "cluster").hint("merge"), ["content", "doc"]).groupBy("content", "doc", "cluster").agg(F.min("text_key").alias("text_key"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            yield {"content": b.column("content"), "shingles": [_shingles(t.as_py().lower().split(), width) for t in b.column("text")]}
+            yield {"content": b.column("content"), "cluster": b.column("cluster"), "shingles": [_shingles(t.as_py().lower().split(), width) for t in b.column("text")]}
 
-    texts = _keyed(docs).join(first.hint("merge"), ["doc", "text_key"]).select("content", "text")
-    known = saved(arrow_map(texts, sets, "content binary, shingles binary").dropDuplicates(["content"]), "sets")
+    texts = _keyed(docs).join(first.hint("merge"), ["doc", "text_key"]).select("content", "cluster", "text")
+    known = saved(arrow_map(texts, sets, "content binary, cluster binary, shingles binary").dropDuplicates(["content"]), "sets")
+    # clusters of more than one block are few
+    blocks = F.ceil(F.sum(F.length("shingles")) / F.lit(4 * block)).alias("blocks")
+    several = known.groupBy("cluster").agg(blocks).where("blocks > 1")
+    dealt = known.join(F.broadcast(several), "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("content"), "blocks"))
+    found = saved(_inside(dealt.where(F.col("blocks") <= FEW), similarity), "links")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -380,16 +448,15 @@ def similar_groups(docs: DataFrame, width: int = SHINGLE, similarity: float = SI
             yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(known.toDF("b", "sb").hint("merge"), "b").join(known.toDF("a", "sa").hint("merge"), "a").select("a", "b", "sa", "sb")
+        plain = known.select("content", "shingles")
+        both = pairs.join(plain.toDF("b", "sb").hint("merge"), "b").join(plain.toDF("a", "sa").hint("merge"), "a").select("a", "b", "sa", "sb")
         return saved(both.mapInArrow(verified, "a binary, b binary"), "links")
 
-    found = linked(asked)
-    roots = components(found).toDF("content", "root")
-    if not unsure.isEmpty():
-        more = linked(_rest(unsure, known, roots, similarity))
-        if not more.isEmpty():
-            roots = components(found.unionByName(more)).toDF("content", "root")
-    return rows.select("doc", "text_key", "content"), roots
+    large = saved(dealt.where(F.col("blocks") > FEW).select("content"), "large")
+    if not large.isEmpty():
+        none = large.select("content", F.col("content").alias("root")).where("false")
+        found = found.unionByName(linked(_rest(large, known.select("content", "shingles"), none, similarity)))
+    return rows.select("doc", "text_key", "content"), components(found).toDF("content", "root")
 
 
 def one_of_each(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
