@@ -11,11 +11,12 @@ the same pairs in the end:
    two blocks with at most 2 of them (leave out the block with most). So each fingerprint
    emits, for each choice of two blocks, the variants of these blocks within 1 bit: 132 rows
    with keys of 42 or 43 bits, which chance collisions of even 10^10 texts leave sparse.
-2. Where up to ``FEW`` fingerprints meet, pairs are verified on the spot. Where more meet,
-   each also emits the points of the third block that its remaining half radius allows; now
-   the whole 64-bit point is fixed, all that share it are within the radius of each other by
-   the triangle inequality, and links to the smallest of them suffice. So no group's pairs
-   are listed, however large it is, and no link between components is lost.
+2. Where up to ``MANY`` fingerprints meet, all pairs are verified inside the task, in tiles, and
+   only as many links as join them leave it. Where more meet, each also emits the points of the
+   third block that its remaining half radius allows; now the whole 64-bit point is fixed, all
+   that share it are within the radius of each other by the triangle inequality, and links to
+   the smallest of them suffice; a task lets out a forest of the links that it has seen. So no
+   group's pairs are listed, however large it is, and no link between components is lost.
 
 Equal fingerprints are one node from the start. Links become components on the cluster.
 
@@ -54,8 +55,12 @@ from trajecta.llm.components import components
 RADIUS, WIDTH, SEED = 4, 4, 42
 #: Words of a shingle and least similarity of near copies.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Fingerprints of one key whose pairs are verified on the spot, and blocks of one cluster.
+#: Fingerprints of one key whose pairs are verified together with those of other keys, and blocks
+#: of one cluster.
 FEW = 32
+#: Fingerprints of one key whose pairs are verified in tiles of ``_TILE`` rows, and links that a
+#: task holds before it lets out a forest of them.
+MANY, _TILE, _HELD = 1 << 12, 1 << 7, 1 << 18
 #: Shingles of a block of a cluster, and those that a matrix has columns for at once.
 BLOCK, _COLUMNS = 1 << 18, 1 << 11
 _BLOCKS = ((0, 22), (22, 21), (43, 21))
@@ -126,6 +131,27 @@ def _joined(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
             root = root[root]
 
 
+def _forest(pairs: np.ndarray) -> np.ndarray:
+    """(n, 2) links -> as few as have the same components: each node with the smallest one."""
+    each, at = np.unique(pairs, return_inverse=True)
+    root = _joined(*at.reshape(-1, 2).T, len(each))
+    more = np.flatnonzero(root != np.arange(len(each)))
+    return np.stack([each[root[more]], each[more]], 1)
+
+
+def _near(fp: np.ndarray, radius: int) -> np.ndarray:
+    """A forest (m, 2) of all pairs of ``fp`` within ``radius`` bits. Pairs that are joined already
+    are left out, so one tile's pairs are held at once."""
+    root = np.arange(len(fp))
+    for k in range(0, len(fp), _TILE):
+        bits = np.bitwise_count((fp[k : k + _TILE, None] ^ fp[None, k:]).view(np.uint64))
+        u, v = np.nonzero((bits <= radius) & (root[k : k + _TILE, None] != root[None, k:]))
+        if len(u):
+            root = _joined(np.concatenate([root, u + k]), np.concatenate([np.arange(len(fp)), v + k]), len(fp))
+    more = np.flatnonzero(root != np.arange(len(fp)))
+    return np.stack([fp[root[more]], fp[more]], 1)
+
+
 def _slimmer(pairs: DataFrame) -> DataFrame:
     """pairs(a, b), a < b -> links with the same components, about one for each node: all smaller
     ones that a node is linked with are linked with the smallest of them instead, twice."""
@@ -146,12 +172,12 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         part = fps.select("fp", base.alias("base"), F.explode(variants).alias("flip")).select(F.lit(which).alias("which"), F.col("base").bitwiseXOR(F.col("flip")).alias("key"), "fp")
         emitted = part if emitted is None else emitted.unionByName(part)
     met = emitted.repartition("which", "key").sortWithinPartitions("which", "key", "fp")
-    few, gaps = FEW, [g for g, _, _ in masks]
+    few, many, held, gaps = FEW, max(FEW, MANY), _HELD, [g for g, _, _ in masks]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        """Runs of equal keys: pairs of short runs, points of long ones. A run may go on in
-        the next batches; its first ``few`` members wait, later ones go on alone."""
-        carry = None  # which, key and members of the run that may go on; members is None once it is long
+        """Runs of equal keys: links of short runs, members of long ones. A run may go on in
+        the next batches; up to ``many`` members wait, those of longer runs go on alone."""
+        carry = None  # which, key and members of the run that may go on
         for b in batches:
             which, key, fp = (b.column(c).to_numpy(zero_copy_only=False) for c in ("which", "key", "fp"))
             if carry is not None:
@@ -160,9 +186,9 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
             edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (which[1:] != which[:-1])]))
             size = np.diff(np.append(edge, len(key)))
             tail = edge[-1]
-            # the last run waits whole (it is at most a batch and what waited before), so it is cut where it gets long
-            if size[-1] > 4096:
-                done, carry = len(key), (which[-1], key[-1], fp[-(few + 1) :])
+            # the last run waits whole until it is long; then enough members wait to tell that it is
+            if size[-1] > many:
+                done, carry = len(key), (which[-1], key[-1], fp[-(many + 1) :])
             else:
                 done, carry = tail, (which[tail], key[tail], fp[tail:])
             keep = edge < done
@@ -185,12 +211,12 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
             x, y = a[same], a[same + off]
             near = np.bitwise_count((x ^ y).view(np.uint64)) <= radius
             pairs.append(np.stack([x[near], y[near]], 1))
+        for k in np.flatnonzero((size > few) & (size <= many)):
+            pairs.append(_near(fp[edge[k] : edge[k] + size[k]], radius))
         if pairs and len(found := np.concatenate(pairs)):
-            each, at = np.unique(found, return_inverse=True)
-            root = _joined(*at.reshape(-1, 2).T, len(each))
-            more = np.flatnonzero(root != np.arange(len(each)))
-            yield {"which": np.full(len(more), -1, np.int32), "key": each[root[more]], "fp": each[more]}
-        long = np.repeat(size > few, size)
+            found = _forest(found)
+            yield {"which": np.full(len(found), -1, np.int32), "key": found[:, 0], "fp": found[:, 1]}
+        long = np.repeat(size > many, size)
         if long.any():
             yield {"which": which[long].astype(np.int32), "key": key[long], "fp": fp[long]}
 
@@ -216,8 +242,10 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
                         yield {"point": at.ravel(), "fp": np.repeat(g, len(flips))}
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        """Rows by point, then fp: each fingerprint with the smallest one of its point."""
+        """Rows by point, then fp: each fingerprint with the smallest one of its point, as a forest
+        of what the task has seen."""
         last = head = None  # the point that may go on, and its smallest fingerprint
+        seen = np.zeros((0, 2), np.int64)
         for b in batches:
             if not b.num_rows:
                 continue
@@ -226,9 +254,12 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
             heads = np.concatenate([[fp[0] if head is None else head], fp[new]])
             least = heads[np.cumsum(new)]
             last, head = point[-1], least[-1]
-            found = np.unique(np.stack([least, fp], 1)[least != fp], axis=0)
-            if len(found):
-                yield {"a": found[:, 0], "b": found[:, 1]}
+            seen = np.concatenate([seen, np.stack([least, fp], 1)[least != fp]])
+            if len(seen) > held and 2 * len(seen := _forest(seen)) > held:  # what does not get smaller goes out at once
+                yield {"a": seen[:, 0], "b": seen[:, 1]}
+                seen = seen[:0]
+        if len(seen := _forest(seen)):
+            yield {"a": seen[:, 0], "b": seen[:, 1]}
 
     long = resolved.where("which >= 0").distinct()
     if long.isEmpty():
